@@ -1,0 +1 @@
+"""Operators of the engine; every function maps DataFrames to DataFrames."""

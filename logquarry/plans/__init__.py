@@ -1,0 +1 @@
+"""Plans of the engine; every function maps DataFrames to DataFrames."""

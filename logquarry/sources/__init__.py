@@ -1,0 +1 @@
+"""Sources of the engine; every function maps DataFrames to DataFrames."""

@@ -1,0 +1 @@
+"""Streaming of the engine; every function maps DataFrames to DataFrames."""
