@@ -334,7 +334,7 @@ def entries(log_lines: DataFrame) -> DataFrame:
     real = (F.col("layout") != "jsonopen") | (F.col("time_text").isNotNull() & ~F.col("no_message"))
     marks = prov.select("Logrecord", F.col("prov").alias("LineId"), F.when(real, F.col("prov")).alias("m"), "last_line", "n_rows")
     ends = _before(marks, "m", "first_line").where("first_line is not null").groupBy("Logrecord", "first_line").agg(F.max("last_line").alias("last_line"), F.sum("n_rows").alias("n_rows"))
-    kept = prov.where(real).select(F.col("Logrecord").alias("lr_"), "prov", "layout", "template", F.coalesce("level", F.lit("")).alias("level"), F.coalesce("component", F.lit("")).alias("component"), "time_text", F.regexp_replace("message", r"^[A-Z]+: ", "").alias("stripped"), "message")
+    kept = prov.where(real).select(F.col("Logrecord").alias("lr_"), "prov", "layout", "template", F.coalesce("level", F.lit("")).alias("level"), F.coalesce("component", F.lit("")).alias("component"), "time_text", F.regexp_replace("message", r"^\n?[A-Z]+: ", "").alias("stripped"), "message")
     kept = kept.withColumn("message", F.when(F.col("layout") == "twoline", F.col("stripped")).otherwise(F.col("message")))
     return ends.join(kept, F.col("first_line") == F.col("prov")).select("Logrecord", "first_line", "last_line", "time_text", _timestamp(F.col("time_text")).alias("ts"), "level", "component", "message", "n_rows", "layout", "template")
 
