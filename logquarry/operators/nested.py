@@ -139,7 +139,7 @@ def shred(api: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     raw = durable(api.select(F.col("response_id").cast("bigint"), F.col("status_code").cast("int"), "body").mapInArrow(_shred_batches, SHRED_SCHEMA))
     occ = raw.where("parent is null").select("response_id", F.col("child").alias("root"))
-    bridge = raw.where("parent is not null").drop("response_id").dropDuplicates(["parent", "ordinal"])
+    bridge = durable(raw.where("parent is not null").drop("response_id").distinct())
     return occ, bridge
 
 
@@ -175,6 +175,8 @@ def works_flat(api: DataFrame) -> DataFrame:
     nulls inside an array keep the positions of the rest.
     """
     occ, bridge = shred(api)
+    # what the levels below read: the members asked for, and the elements of arrays
+    bridge = bridge.where(F.col("key").isNull() | F.col("key").isin("items", "DOI", "title", "author", "indexed", "affiliation", "date-parts"))
     roots = occ.select("root").distinct()
     fields = ("child", "kind", "filled", "value")
     under = _members(roots.withColumn("at", F.col("root")), bridge, ["items"])
@@ -183,20 +185,20 @@ def works_flat(api: DataFrame) -> DataFrame:
         roots.join(under.select("root"), "root", "left_anti")
         .select("root", F.lit(0).alias("item_pos"), F.col("root").alias("child"), F.lit("object").alias("kind"), F.lit(True).alias("filled"), F.lit(None).cast("string").alias("value"))
     )
-    items = items.select("root", "item_pos", *fields).unionByName(single)
+    items = durable(items.select("root", "item_pos", *fields).unionByName(single))
     distinct_works = items.where("kind = 'object'").select(F.col("child").alias("work")).distinct()
     none = F.lit(-1)
     got = _members(distinct_works.withColumn("at", F.col("work")), bridge, ["DOI", "title", "author", "indexed"]).where("filled")
-    got = got.select("work", F.col("key").alias("field"), *fields)
+    got = durable(got.select("work", F.col("key").alias("field"), *fields))
     doi = got.where("field = 'DOI'").select("work", F.lit("doi").alias("node"), none.alias("pos"), none.alias("subpos"), "value", "child")
-    lists = _elements(got.where("field in ('title','author')"), bridge, "pos").where("filled")
+    lists = durable(_elements(got.where("field in ('title','author')"), bridge, "pos").where("filled"))
     flat1 = lists.select("work", F.col("field").alias("node"), "pos", none.alias("subpos"), "value", "child")
     deeper = (
         lists.where("field = 'author' and kind = 'object'").select("work", "pos", F.col("child").alias("at"), F.lit("affiliation").alias("want"))
         .unionByName(got.where("field = 'indexed' and kind = 'object'").select("work", none.alias("pos"), F.col("child").alias("at"), F.lit("date-parts").alias("want")))
     )
-    inner = _members(deeper, bridge, ["affiliation", "date-parts"]).where("filled and key = want").select("work", "pos", F.col("key").alias("field"), *fields)
-    els = _elements(inner, bridge, "i").where("filled")
+    inner = durable(_members(deeper, bridge, ["affiliation", "date-parts"]).where("filled and key = want").select("work", "pos", F.col("key").alias("field"), *fields))
+    els = durable(_elements(inner, bridge, "i").where("filled"))
     aff = els.where("field = 'affiliation'").select("work", F.lit("affiliation").alias("node"), "pos", F.col("i").alias("subpos"), "value", "child")
     parts = _elements(els.where("field = 'date-parts'"), bridge, "j").where("filled")
     dates = parts.select("work", F.lit("date_part").alias("node"), F.col("i").alias("pos"), F.col("j").alias("subpos"), "value", "child")

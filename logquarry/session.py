@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,26 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where the session names none (tests, a laptop)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    made = tempfile.mkdtemp(prefix="logquarry-")
+    spark.sparkContext.setCheckpointDir(made)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+    """Write ``df`` once as a table in the shared folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``; only where the session
-    names none (tests, a laptop) is a temporary one set.  Reliable checkpoints
-    survive the loss of executors, unlike local ones.
+    Cuts the lineage and survives the loss of executors; unlike checkpoint
+    files the table is compressed, and readers prune its columns.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logquarry-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/logquarry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
