@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -121,36 +122,21 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: float | None = None, pa
     last = last.join(before, ["source", "bucket"])
     inside = last.where(F.col("before") + F.col("in_bucket") <= F.col("part"))
     edge = last.where((F.col("before") < F.col("part")) & (F.col("before") + F.col("in_bucket") > F.col("part")))
-    upto = F.sum("n_tokens").over(W.partitionBy("source").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    edge = durable(edge.withColumn("upto", F.col("before") + upto))
     cols = ["doc_id", "source", "pass", "n_tokens", "h", "passes"]
-    chosen = inside.select(*cols).unionByName(edge.where("upto <= part").select(*cols))
-    unused = last.where(F.col("before") >= F.col("part")).select(*cols).unionByName(edge.where("upto > part").select(*cols))
-    used = full.select(*cols).unionByName(chosen).unionByName(_closing(chosen, unused, {r[0]: r[2] for r in rows}))
+    cut = edge.select(*cols, (F.col("part") - F.col("before")).alias("room")).groupBy("source").applyInPandas(_first_fit, edge.select(*cols).schema)
+    used = full.select(*cols).unionByName(inside.select(*cols)).unionByName(cut)
     u = (F.col("pass") + (F.shiftrightunsigned("h", 1) / F.lit(float(2**63))) * F.least(F.lit(1.0), F.col("passes") - F.col("pass"))) / F.col("passes")
     return used.withColumn("place", u).select("doc_id", "source", "pass", "n_tokens", F.least(F.floor(u * BLOCKS), F.lit(BLOCKS - 1)).cast("int").alias("block"), "place")
 
 
-def _closing(chosen: DataFrame, unused: DataFrame, part: dict[str, float]) -> DataFrame:
-    """A few further documents that bring each source's part of a pass nearer to its budget.
-
-    The document at the cut may be long; of each size class (powers of two)
-    the first unused one by hash is a candidate, and they are taken from large
-    to small while they fit.  The driver sees one row for each source and class.
-    """
-    room = dict(part)
-    for r in chosen.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(MAX_SOURCES).collect():
-        room[r["source"]] -= r["n"]
-    spark = chosen.sparkSession
-    left = F.broadcast(spark.createDataFrame(sorted(room.items()), "source string, room double"))  # one row a source
-    first = unused.join(left, "source").where("n_tokens <= room").withColumn("size", F.floor(F.log2("n_tokens")))
-    first = first.groupBy("source", "size").agg(F.min(F.struct("h", "doc_id", "pass", "n_tokens", "passes")).alias("z")).select("source", "z.*")
-    picked = []
-    for r in sorted(first.limit(MAX_SOURCES * 64).collect(), key=lambda r: (r["source"], -r["n_tokens"])):
-        if r["n_tokens"] <= room[r["source"]]:
-            room[r["source"]] -= r["n_tokens"]
-            picked.append(tuple(r[c] for c in chosen.columns))
-    return spark.createDataFrame(picked, chosen.schema)
+def _first_fit(bucket: pd.DataFrame) -> pd.DataFrame:
+    """Of the bucket in which a source's budget ends, in hash order, the documents that still fit the room left."""
+    b = bucket.sort_values(["h", "doc_id"], kind="stable")
+    room, take = b["room"].iloc[0], []
+    for n in b["n_tokens"]:
+        take.append(n <= room)
+        room -= n if take[-1] else 0
+    return b[take].drop(columns="room")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
