@@ -28,7 +28,7 @@ def _with_events(sessions: DataFrame, templates: DataFrame) -> DataFrame:
     t = t.select("EventId", F.when(c != "", F.concat(F.lit("t:"), c)).otherwise(F.concat(F.lit("i:"), "EventId")).alias("ev"))
     if t.count() <= BROADCAST_TEMPLATES:
         m = t.agg(F.map_from_entries(F.collect_list(F.struct("EventId", "ev"))).alias("m"))
-        s = sessions.crossJoin(F.broadcast(m))  # one row, its size bounded just above
+        s = sessions.withColumn("m", m.scalar())  # one value, its size bounded just above
         ev = F.transform("event_ids", lambda x: F.coalesce(F.when(x.isNotNull(), F.element_at("m", x)), F.concat(F.lit("i:"), x)))
         return s.withColumn("events", ev).drop("m")
     e = sessions.select("key", F.posexplode("event_ids").alias("pos", "EventId")).join(t, "EventId", "left")
