@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logquarry.operators import logparse, nested
+from logquarry.plans import catalog
 from logquarry.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     """Core queries by name."""
-    return {
+    return catalog.QUERIES | {
         "p3_found": lambda s, d: nested.found(load(s, d, "api_responses")),
         "p3_flat": lambda s, d: nested.works_flat(load(s, d, "api_responses")).drop("object_id"),
         "p4_found": lambda s, d: logparse.found(load(s, d, "log_lines")),
@@ -24,4 +25,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the core queries."""
-    return {}
+    return dict(catalog.SQL)
