@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logquarry.llm import chars, dedup, mix, names, pack, runs, split
+from logquarry.plans.nested_sql import titles_sql
 from logquarry.registry import Query
 from logquarry.session import load
 
@@ -27,6 +28,35 @@ def queries() -> dict[str, Query]:
     }
 
 
+_RUNS = r"""WITH s AS (SELECT DISTINCT sid, event_ids, labels FROM bgl_sessions),
+t AS (SELECT EventId, lower(regexp_replace(regexp_replace(EventTemplate, '<[^<>]*>', '', 'g'), '[^\p{L}]+', '', 'g')) AS ev FROM event_templates),
+p AS (SELECT sid, unnest(range(len(event_ids))) AS pos, unnest(event_ids) AS EventId, unnest(labels) AS label FROM s),
+e AS (SELECT sid, pos, label, coalesce('t:' || nullif(ev, ''), 'i:' || EventId) AS ev FROM p LEFT JOIN t USING (EventId)),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY sid, ev, label ORDER BY pos) AS isle FROM e)
+SELECT sid, min(pos) AS start_pos, count(*) AS n_events FROM g GROUP BY sid, ev, label, isle HAVING count(*) >= 2"""
+
+_BARE = r"nullif(regexp_replace(lower(upper({})), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\s]+', '', 'g'), '')"
+_FIELD = r"regexp_extract(raw, '(?is)\b{}\s*=\s*(.*?),?\n\s*(?:\w+\s*=|\}}\s*$)', 1)"
+
+
+def _json_field(name: str) -> str:
+    return "coalesce(" + ", ".join(f"json_extract_string(raw, '$.{n}')" for n in (name, name.upper(), name.capitalize())) + ")"
+
+
+def _copies() -> str:
+    pick = lambda n: f"CASE WHEN title IS NULL AND doi IS NULL AND ltrim(raw) LIKE '{{%' THEN CASE WHEN json_valid(raw) THEN {_json_field(n)} END WHEN title IS NULL AND doi IS NULL AND ltrim(raw) LIKE '@%' THEN {_FIELD.format(n)} ELSE {n} END"
+    return f"""WITH r AS (SELECT citation_id, {pick('title')} AS t, {pick('doi')} AS d FROM citations),
+k AS (SELECT citation_id, {_BARE.format('t')} AS t, coalesce(regexp_replace({_BARE.format('d')}, '^(https?(dx)?doiorg|doi)10', '10'), '') AS d FROM r),
+g AS (SELECT citation_id, min(citation_id) OVER (PARTITION BY t, d) AS a FROM k WHERE t IS NOT NULL)
+SELECT DISTINCT a AS citation_id_a, citation_id AS citation_id_b FROM g WHERE a <> citation_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the training-data queries that SQL can express."""
-    return {}
+    look = chars.canonical_sql
+    return {
+        "p1_found": f"WITH {titles_sql()}, c AS (SELECT citation_id, title AS s FROM citations WHERE title IS NOT NULL), cc AS (SELECT citation_id, s, {look('s')} AS look FROM c), ii AS (SELECT response_id, item_pos, title, {look('title')} AS look FROM it) SELECT DISTINCT citation_id, response_id, item_pos FROM cc JOIN ii USING (look) WHERE s <> title",
+        "p1_canonical": f"SELECT citation_id, title, {look('title')} AS canonical FROM citations",
+        "p5_found": _RUNS,
+        "p6_found": _copies(),
+    }
