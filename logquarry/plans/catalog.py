@@ -384,7 +384,7 @@ sc AS (SELECT *, CASE WHEN en = cn AND en <> '' THEN 1.0 WHEN e < 3 OR c = 0 OR
 
 
 def _compared(s: SparkSession, d: str) -> DataFrame:
-    r = load(s, d, "api_responses").where("status_code = 200 and citation_id is not null").select("response_id", "citation_id", F.get_json_object("body", "$.message.title[0]").alias("ct"), F.try_parse_json("body").isNotNull().alias("ok")).where("ok and ct is not null")
+    r = load(s, d, "api_responses").where("status_code = 200 and citation_id is not null").select("response_id", "citation_id", F.try_variant_get(F.try_parse_json("body"), "$.message.title[0]", "string").alias("ct")).where("ct is not null")
     c = load(s, d, "citations").where("title is not null").select("citation_id", "title")
     return match.title_match(r.join(c, "citation_id"), "title", "ct")
 
@@ -553,7 +553,7 @@ def ring_buffer_last_n(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts(s: SparkSession, d: str) -> DataFrame:
     """Hourly counts by a stream over what is there; equal to the batch."""
-    st = streaming.event_stream(s, f"{d}/events.parquet", load(s, d, "events").schema)
+    st = streaming.event_stream(s, f"{d}/events.parque[t]", load(s, d, "events").schema)
     out = streaming.run_to_end(streaming.windowed_counts(st, "ts", "event_type"), "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
@@ -561,7 +561,7 @@ def stream_counts(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id::VARCHAR AS entity, unnest(range(0, count(*) // 20)) AS session, 20 AS rows FROM events GROUP BY user_id")
 def stream_sessions(s: SparkSession, d: str) -> DataFrame:
     """Full sessions of 20 events a user, by a stateful stream."""
-    st = streaming.event_stream(s, f"{d}/events.parquet", load(s, d, "events").schema)
+    st = streaming.event_stream(s, f"{d}/events.parque[t]", load(s, d, "events").schema)
     return streaming.run_to_end(streaming.count_sessions(st, "user_id", "ts"))
 
 

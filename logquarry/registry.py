@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logquarry.operators import logparse, nested
-from logquarry.plans import catalog
+from logquarry.plans import catalog, nested_sql
 from logquarry.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,4 +25,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the core queries."""
-    return dict(catalog.SQL)
+    return catalog.SQL | {"p3_found": nested_sql.nodes_sql()}
