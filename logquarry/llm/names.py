@@ -94,11 +94,12 @@ def slip(a: str, b: str) -> int:
 def _words(s: str) -> list[tuple[str, bool]]:
     """Folded words of a name, each with whether it is an initial."""
     out = []
+    loud = any(w.isupper() for w in re.findall(r"[^\W\d_]{4,}", s))
     for m in re.finditer(r"[^\W\d_]+(?:['’‐‑-][^\W\d_]+)*\.?", s):
         w = m[0].rstrip(".")
         if len(w) == 1:
             out.append((fold(w), True))
-        elif len(w) <= 3 and w.isupper() and not s.isupper() and fold(w) not in SUFFIXES:
+        elif len(w) <= 3 and w.isupper() and not s.isupper() and fold(w) not in SUFFIXES and not (loud and fold(w) in PARTICLES):
             out += [(fold(c), True) for c in w]
         else:
             out.append((fold(w), False))

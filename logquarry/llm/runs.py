@@ -74,7 +74,7 @@ def collapse(sessions: DataFrame, templates: DataFrame, log: DataFrame) -> DataF
     order of arrival, so the span between the earlier and the later counts.
     """
     r = runs(sessions, templates)
-    ts = F.to_timestamp_ntz("Time", F.lit("yyyy-MM-dd-HH.mm.ss.SSSSSS"))
+    ts = F.try_to_timestamp("Time", F.lit("yyyy-MM-dd-HH.mm.ss.SSSSSS")).cast("timestamp_ntz")
     t = log.where("idx is not null").select(F.col("idx").alias("i"), ts.alias("ts")).dropDuplicates(["i"])
     ends = r.select("sid", "start_pos", F.explode(F.array("first_idx", "last_idx")).alias("i")).where("i is not null").distinct()
     span = ends.join(t, "i").groupBy("sid", "start_pos").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))

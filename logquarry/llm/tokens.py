@@ -90,6 +90,8 @@ class Tokens:
         sizes = [len(self.encode(parts[0])), *map(self._lengths.__getitem__, parts[1:])]
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1  # the blank before each next part
         starts = [0, *ends[:-1].tolist()]
+        if not parts[0] and len(parts) > 1:  # the text opens with a blank
+            starts, sizes = starts[1:], sizes[1:]
         if max(sizes) <= longest:
             return starts, sizes
         s2, n2 = [], []
