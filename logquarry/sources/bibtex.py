@@ -67,7 +67,7 @@ def _value(t: str, i: int, macros: dict[str, str]) -> tuple[str, int] | None:
             out.append(t[i + 1 : j])
             i = j + 1
         else:
-            m = re.compile(r"[^\s,#{}]+").match(t, i)
+            m = re.compile(r"[^\s,#{}()]+").match(t, i)
             if not m:
                 return None
             out.append(macros.get(m[0].lower(), m[0]))

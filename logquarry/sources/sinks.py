@@ -10,9 +10,9 @@ from logquarry.operators.sessions import session_text
 
 def write_structured(structured: DataFrame, templates: DataFrame, path: str) -> None:
     """Structured log and template dictionary as CSV with headers; arrays become JSON."""
-    flat = structured.select(*[F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in structured.dtypes])
-    flat.write.mode("overwrite").csv(f"{path}/structured", header=True)
-    templates.write.mode("overwrite").csv(f"{path}/templates", header=True)
+    flat = lambda d: d.select(*[F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in d.dtypes])
+    flat(structured).write.mode("overwrite").csv(f"{path}/structured", header=True)
+    flat(templates).write.mode("overwrite").csv(f"{path}/templates", header=True)
 
 
 def write_splits(sessions: DataFrame, path: str) -> None:
