@@ -165,9 +165,11 @@ def _elements(df: DataFrame, bridge: DataFrame, pos: str) -> DataFrame:
     return bare.select(*deep.columns).unionByName(deep)
 
 
-def works_flat(api: DataFrame) -> DataFrame:
+def works_flat(api: DataFrame, titles_only: bool = False) -> DataFrame:
     """Nodes of every work: (response_id, item_pos, node, pos, subpos, value, object_id).
 
+    With ``titles_only`` just the title nodes, from the members that lead to them.
+
     node is item, doi, title, author, affiliation or date_part; value is the
     scalar text where the node is one, object_id the identity of the subtree,
     so equal authors or works share it and the rows of a work are linked to it
@@ -176,7 +178,8 @@ def works_flat(api: DataFrame) -> DataFrame:
     """
     occ, bridge = shred(api)
     # what the levels below read: the members asked for, and the elements of arrays
-    bridge = bridge.where(F.col("key").isNull() | F.col("key").isin("items", "DOI", "title", "author", "indexed", "affiliation", "date-parts"))
+    wanted = ["items", "title"] if titles_only else ["items", "DOI", "title", "author", "indexed", "affiliation", "date-parts"]
+    bridge = bridge.where(F.col("key").isNull() | F.col("key").isin(wanted))
     roots = occ.select("root").distinct()
     fields = ("child", "kind", "filled", "value")
     under = _members(roots.withColumn("at", F.col("root")), bridge, ["items"])
@@ -188,8 +191,12 @@ def works_flat(api: DataFrame) -> DataFrame:
     items = durable(items.select("root", "item_pos", *fields).unionByName(single))
     distinct_works = items.where("kind = 'object'").select(F.col("child").alias("work")).distinct()
     none = F.lit(-1)
-    got = _members(distinct_works.withColumn("at", F.col("work")), bridge, ["DOI", "title", "author", "indexed"]).where("filled")
+    got = _members(distinct_works.withColumn("at", F.col("work")), bridge, [k for k in ("DOI", "title", "author", "indexed") if k in wanted]).where("filled")
     got = durable(got.select("work", F.col("key").alias("field"), *fields))
+    if titles_only:
+        t = _elements(got, bridge, "pos").where("filled").select("work", "pos", "value", "child")
+        t = items.where("kind = 'object'").select("root", "item_pos", F.col("child").alias("work")).join(t, "work")
+        return occ.join(t, "root").select("response_id", "item_pos", F.lit("title").alias("node"), "pos", none.alias("subpos"), "value", F.col("child").alias("object_id"))
     doi = got.where("field = 'DOI'").select("work", F.lit("doi").alias("node"), none.alias("pos"), none.alias("subpos"), "value", "child")
     lists = durable(_elements(got.where("field in ('title','author')"), bridge, "pos").where("filled"))
     flat1 = lists.select("work", F.col("field").alias("node"), "pos", none.alias("subpos"), "value", "child")
