@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.operators.nested import works_flat
+from logquarry.session import durable
 
 #: Letters of other scripts drawn like Latin ones.
 LOOKALIKES = (
@@ -115,7 +116,7 @@ def canonicalise(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
 
 def titles_of_items(api: DataFrame) -> DataFrame:
     """(response_id, item_pos, title) of every title of every work."""
-    return works_flat(api).where("node = 'title' and value is not null").select("response_id", "item_pos", F.col("value").alias("title"))
+    return works_flat(api, titles_only=True).where("value is not null").select("response_id", "item_pos", F.col("value").alias("title"))
 
 
 def found(citations: DataFrame, api: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def found(citations: DataFrame, api: DataFrame) -> DataFrame:
     spread by a salt, the other side being one row for each pair of titles.
     """
     c = citations.where("title is not null").select(F.col("title").alias("ct"), "citation_id")
-    i = titles_of_items(api)
+    i = durable(titles_of_items(api))  # read twice
     cd = canonicalise(c.select("ct").distinct(), "ct", "look")
     idd = canonicalise(i.select(F.col("title").alias("it")).distinct(), "it", "look")
     pairs = cd.join(idd, "look").where("ct <> it").select("ct", "it")
