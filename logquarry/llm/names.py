@@ -321,7 +321,9 @@ def link(citations: DataFrame, registry: DataFrame) -> DataFrame:
     names = citations.select(F.explode("authors").alias("name")).where("name is not null").distinct()
     exact = registry.where("display_name is not null").groupBy(F.col("display_name").alias("name")).agg(F.min("author_id").alias("same"))
     named = names.join(exact, "name", "left")
-    typed = named.where("same is null").select("name")
+    # distinct names are few bytes and much work: keep them spread, whatever their size suggests
+    spread = max(citations.sparkSession.sparkContext.defaultParallelism * 4, int(citations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    typed = named.where("same is null").select("name").repartition(spread, "name")
     q = typed.select("name", F.explode(_readings("name")).alias("z")).select("name", "z.kind", "z.point", "z.rest")
     near = radius_join(q, registry_points(registry))
     fit = near.withColumn("tier", _tier("kind", "point", "rest", "r_point", "r_rest")).where("tier < 99").groupBy("name", "author_id").agg(F.min("tier").alias("tier"))
