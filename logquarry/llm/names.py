@@ -99,7 +99,7 @@ def _words(s: str) -> list[tuple[str, bool]]:
         w = m[0].rstrip(".")
         if len(w) == 1:
             out.append((fold(w), True))
-        elif len(w) <= 3 and w.isupper() and not s.isupper() and fold(w) not in SUFFIXES and not (loud and fold(w) in PARTICLES):
+        elif len(w) <= 3 and w.isupper() and not s.isupper() and (fold(w) not in SUFFIXES or not m.start()) and not (loud and fold(w) in PARTICLES):
             out += [(fold(c), True) for c in w]
         else:
             out.append((fold(w), False))

@@ -16,7 +16,7 @@ def links(spark, xs):
 
 
 CASES = {
-    "William Ødegård": 1, "Bill Odegard": 1, "W. Ødegård": 1, "Ødegård, W.": 1, "ØDEGÅRD, William": 1, "Odegard William": 1, "Dr. William X. Ødegård Jr.": 1, "Willaim Ødegård": 1, "William Ødegådr": 1, "Ødegård": 1, "WX Ødegård": 1, "W.Ødegård": 1,
+    "William Ødegård": 1, "Bill Odegard": 1, "W. Ødegård": 1, "Ødegård, W.": 1, "ØDEGÅRD, William": 1, "Odegard William": 1, "Dr. William X. Ødegård Jr.": 1, "Willaim Ødegård": 1, "William Ødegådr": 1, "Ødegård": 1, "WX Ødegård": 1, "MD Nobody": None, "W.Ødegård": 1,
     "Tarkovand, Wilhelm P.": 2, "Wilhelm Tarkvoand": 2, "Wilhelm Tarkxyand": None, "Rosa VAN DER KLEMGOND": 3, "van der Klemgond, R.": 3, "van der Klemgond Rosa": 3, "A. Shared": None, "Anna Shared": 4, "Shared, Arno": 5, "Bruno Shared": None,
     "DAKI": 6, "D.A.K.I.": 6, "Dartfort Acad. of Kernel Inference": 6, "Kernel Inference Academy, Dartfort": 6, "Dartfort Kernel Inference Academy": 6, "The Dartfort Academy of Kernel Inference": 6, "Dartfort Academy of Kernel Inference (DAKI)": 6, "Datrfort Academy of Kernel Inference": 6, "Dartfort Academy of Signal Inference": None,
     "Lars Bromelund": 7, "Somebody Else": None, "": None, "  ": None, "123": None, "?": None, "x" * 5000: None,
