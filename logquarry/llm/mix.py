@@ -92,7 +92,9 @@ def plan(tokens: dict[str, int], base: dict[str, float], limits: dict[str, int],
 
 def _counted(docs: DataFrame, targets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     t = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
-    d = docs.where("text <> ''").join(F.broadcast(t.select("source")) if t.count() <= MAX_SOURCES else t.select("source"), "source", "left_semi")
+    if (n := t.count()) > MAX_SOURCES:
+        raise ValueError(f"{n} sources; a mixture has at most {MAX_SOURCES}")
+    d = docs.where("text <> ''").join(F.broadcast(t.select("source")), "source", "left_semi")  # counted just above
     return durable(count_tokens(d, ["doc_id", "source"], path=path)), t
 
 
@@ -107,7 +109,7 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: float | None = None, pa
     further columns are ignored; an empty table gives no rows.
     """
     counted, t = _counted(docs, targets, path)
-    sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).join(t, "source").limit(MAX_SOURCES).collect()
+    sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).join(t, "source").collect()
     by = {r["source"]: r for r in sums}
     take = plan({s: r["tokens"] for s, r in by.items()}, {s: r["target_share"] or 0.0 for s, r in by.items()}, {s: r["max_repeats"] or 0 for s, r in by.items()}, budget)
     spark = docs.sparkSession
