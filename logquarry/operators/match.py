@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import text as T
+from logquarry.session import durable
 
 
 def title_match(df: DataFrame, expected: str, canonical: str) -> DataFrame:
@@ -58,25 +59,32 @@ def book_sibling(df: DataFrame) -> DataFrame:
     return df.withColumn("sibling", F.when(F.col("top.type") == "book-chapter", F.get(fits, F.lit(0))))
 
 
-def best_by_tokens(left: DataFrame, right: DataFrame, k: int = 5, common: float = 0.01, least: int = 2) -> DataFrame:
-    """(id, other, rank, shared): the k right titles that share most meaningful words with each left title.
+def best_by_tokens(left: DataFrame, right: DataFrame, k: int = 5, threshold: float = 0.70) -> DataFrame:
+    """(id, other, rank, f1): the k best right titles of each left title with a word F1 of ``threshold`` or more, exactly.
 
-    left(id, title), right(other, title).  An inverted index joins on words;
-    words in more than ``common`` of the right titles do not open a pair (they
-    still count for it), so no word pairs whole tables.
+    left(id, title), right(other, title).  Prefix filter: words are ordered by
+    rarity; sets with F1 >= t share t / (2 - t) of each one's words, so such a
+    pair meets in the first words of both, those that could be missing from
+    the shared rest.  The index holds these only, and the rarest words open
+    the pairs; no candidate is cut off.
     """
-    n = F.size("w")
-    lw = left.withColumn("w", F.array_distinct(T.meaningful(T.normalise_title(F.col("title"))))).where(n > 0)
-    rw = right.withColumn("w", F.array_distinct(T.meaningful(T.normalise_title(F.col("title"))))).where(n > 0)
-    total = rw.count()
-    post = rw.select("other", F.explode("w").alias("word"))
-    df = post.groupBy("word").agg(F.count("*").alias("df"))
-    rare = post.join(df.where(F.col("df") <= max(common * total, 50)), "word")
-    pairs = lw.select("id", F.explode("w").alias("word")).join(rare, "word").select("id", "other").distinct()
-    both = pairs.join(lw.select("id", F.col("w").alias("a")), "id").join(rw.select("other", F.col("w").alias("b")), "other")
-    both = both.withColumn("shared", F.size(F.array_intersect("a", "b"))).where(F.col("shared") >= least)
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("o"), "other"))), 1, k)
-    return both.groupBy("id").agg(top.alias("z")).select("id", F.posexplode("z").alias("p", "z")).select("id", F.col("z.other").alias("other"), (F.col("p") + 1).alias("rank"), (-F.col("z.o")).alias("shared"))
+    lw = durable(left.withColumn("w", F.array_distinct(T.meaningful(T.normalise_title(F.col("title"))))).where(F.size("w") > 0).select("id", "w"))
+    rw = durable(right.withColumn("w", F.array_distinct(T.meaningful(T.normalise_title(F.col("title"))))).where(F.size("w") > 0).select("other", "w"))
+    df = rw.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    share = threshold / (2 - threshold)
+
+    def prefix(d: DataFrame, key: str) -> DataFrame:
+        e = d.select(key, F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word", "left")
+        z = e.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("z"))
+        keep = (F.col("n") - F.ceil(share * F.col("n") - F.lit(1e-9)) + 1).cast("int")
+        return z.select(key, F.explode(F.transform(F.slice("z", F.lit(1), keep), lambda x: x.word)).alias("word"))
+
+    pairs = prefix(lw, "id").join(prefix(rw, "other"), "word").select("id", "other").distinct()
+    both = pairs.join(lw.withColumnRenamed("w", "a"), "id").join(rw.withColumnRenamed("w", "b"), "other")
+    f1 = 2 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))
+    both = both.withColumn("f1", F.round(f1, 6)).where(f1 >= threshold - 1e-12)
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("f1")).alias("o"), "other"))), 1, k)
+    return both.groupBy("id").agg(top.alias("z")).select("id", F.posexplode("z").alias("p", "z")).select("id", F.col("z.other").alias("other"), (F.col("p") + 1).alias("rank"), (-F.col("z.o")).alias("f1"))
 
 
 #: The mark of each status in a report.

@@ -55,7 +55,7 @@ def transitions(df: DataFrame, by: str, order: list[str], state: str, negative:
 def md5_split(keys: DataFrame, key: str, train: float = 0.8, seed: str = "42") -> DataFrame:
     """Splits by md5 order: the first floor(train n) keys 'train', the rest 'test', numbered without a global window."""
     d = keys.select(key).distinct().withColumn("h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed))))
-    d = number_rows(d, ["h", key], F.substring("h", 1, 2), "pos")
+    d = number_rows(d, ["h", key], F.substring("h", 1, 4), "pos")
     n = d.count()
     return d.select(key, F.when(F.col("pos") <= int(n * train), "train").otherwise("test").alias("split"))
 
