@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def get_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # Python workers import the package too
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("logquarry")

@@ -193,3 +193,15 @@ def test_mining_lines(spark):
     df = spark.createDataFrame(rows, "LineId long, g string, t string")
     got = {r["LineId"]: r["template"] for r in templates.mine(df, "g", "LineId", "t", chunk=7).collect()}
     assert len(got) == 32 and {got[i] for i in range(30)} == {"lease <*> lost now"} and got[30] == got[31] == "<empty>"
+
+
+def test_title_search_is_exact(spark):
+    rnd = random.Random(11)
+    words = ["deep", "sparse", "graph", "log", "event", "session", "storage", "kernel", "trace", "queue"]
+    rows = [(i, " ".join(rnd.sample(words, rnd.randint(1, 6)))) for i in range(80)] + [(80, None), (81, "of the and")]
+    df = spark.createDataFrame(rows, "other long, title string")
+    sets = {i: set(t.split()) for i, t in rows[:80]}
+    f1 = lambda a, b: round(2 * len(a & b) / (len(a) + len(b)), 6)
+    want = {(q, o) for q in sets if q % 20 == 0 for o in sorted((o for o in sets if f1(sets[q], sets[o]) >= 0.7), key=lambda o: (-f1(sets[q], sets[o]), o))[:5]}
+    got = match.best_by_tokens(df.where("other % 20 = 0").withColumnRenamed("other", "id"), df).collect()
+    assert {(r["id"], r["other"]) for r in got} == want
