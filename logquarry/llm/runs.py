@@ -31,21 +31,22 @@ def _with_events(sessions: DataFrame, templates: DataFrame) -> DataFrame:
         s = sessions.withColumn("m", m.scalar())  # one value, its size bounded just above
         ev = F.transform("event_ids", lambda x: F.coalesce(F.when(x.isNotNull(), F.element_at("m", x)), F.concat(F.lit("i:"), x)))
         return s.withColumn("events", ev).drop("m")
+    sessions = sessions.withColumn("key", F.md5(F.to_json(F.struct("sid", "event_ids", "labels", "idx"))))
     e = sessions.select("key", F.posexplode("event_ids").alias("pos", "EventId")).join(t, "EventId", "left")
     e = e.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("ev", F.concat(F.lit("i:"), "EventId")).alias("ev")))).alias("z"))
-    return sessions.join(e.select("key", F.transform("z", lambda x: x.ev).alias("events")), "key", "left")
+    return sessions.join(e.select("key", F.transform("z", lambda x: x.ev).alias("events")), "key", "left").drop("key")
 
 
 def runs(sessions: DataFrame, templates: DataFrame) -> DataFrame:
     """Every maximal run: (sid, start_pos, n_events, event, label, first_idx, last_idx), runs of one included.
 
-    A session delivered again with the same sid counts once.  NULL arrays and
+    A session delivered again with the same content counts once.  NULL arrays and
     empty ones give no rows; a NULL event or label equals only another NULL;
     arrays of unequal length are read as far as event_ids goes.  Further
     columns are ignored; an empty table gives no rows.
     """
     s = sessions.select("sid", "event_ids", "labels", "idx").where("size(event_ids) > 0")
-    s = s.withColumn("key", F.md5(F.to_json(F.struct("sid", "event_ids", "labels", "idx")))).dropDuplicates(["key"])
+    s = s.distinct()
     s = _with_events(s, templates)
     pair = F.transform("events", lambda e, i: F.concat_ws("\u0001", F.coalesce(e, F.lit("\u0002")), F.coalesce(F.get("labels", i).cast("string"), F.lit("\u0002"))))
     s = s.withColumn("pairs", pair).withColumn("kinds", F.array_distinct("pairs"))
@@ -63,7 +64,7 @@ def runs(sessions: DataFrame, templates: DataFrame) -> DataFrame:
     return s.select(
         "sid", start.alias("start_pos"), F.col("z.n").alias("n_events"), F.get("events", start).alias("event"), F.get("labels", start).alias("label"),
         F.get("idx", start).alias("first_idx"), F.get("idx", F.col("z.e") - 1).alias("last_idx"),
-    ).dropDuplicates(["sid", "start_pos", "n_events"])
+    )
 
 
 def collapse(sessions: DataFrame, templates: DataFrame, log: DataFrame) -> DataFrame:
@@ -84,4 +85,4 @@ def collapse(sessions: DataFrame, templates: DataFrame, log: DataFrame) -> DataF
 
 def found(sessions: DataFrame, templates: DataFrame) -> DataFrame:
     """(sid, start_pos, n_events) of the runs of two or more."""
-    return runs(sessions, templates).where("n_events >= 2").select("sid", "start_pos", "n_events")
+    return runs(sessions, templates).where("n_events >= 2").select("sid", "start_pos", "n_events").distinct()
