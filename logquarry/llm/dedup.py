@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logquarry.session import durable
 from logquarry.sources.bibtex import parse_bibtex
 
 
@@ -83,7 +84,7 @@ def collapse(citations: DataFrame) -> DataFrame:
     NULL columns, empty texts and an empty table are legal; a repeated row is
     a copy; further columns are ignored.
     """
-    canon = canonical(citations)
+    canon = durable(canonical(citations).select("citation_id", "h", "form"))
     one = groups(canon).select(F.col("first_id").alias("citation_id"), F.get(F.split("form", "\u0001"), F.lit(0)).alias("title_key"), F.nullif(F.get(F.split("form", "\u0001"), F.lit(1)), F.lit("")).alias("doi_key"), "n_copies")
     rest = citations.select("citation_id").join(canon.select("citation_id"), "citation_id", "left_anti")
     none = F.lit(None).cast("string")
@@ -97,7 +98,7 @@ def found(citations: DataFrame) -> DataFrame:
     side is one row a salt, so a group with a third of all rows is spread.
     """
     salts = 8
-    canon = canonical(citations)
+    canon = durable(canonical(citations).select("citation_id", "h", "form"))  # read three times
     many = groups(canon).where("n_copies > 1").select("h", "form", "first_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = canon.select("citation_id", "h", "form").withColumn("salt", F.pmod(F.xxhash64("citation_id"), F.lit(salts)).cast("int"))
+    rows = canon.withColumn("salt", F.pmod(F.xxhash64("citation_id"), F.lit(salts)).cast("int"))
     return rows.join(many, ["h", "salt", "form"]).where("citation_id <> first_id").select(F.col("first_id").alias("citation_id_a"), F.col("citation_id").alias("citation_id_b")).distinct()
