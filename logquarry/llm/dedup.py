@@ -53,7 +53,7 @@ def bare(col: Column) -> Column:
 def canonical(citations: DataFrame) -> DataFrame:
     """(citation_id, title_key, doi_key, form, h): canonical forms and their 128-bit hash; no row without a title."""
     c = citations.select("citation_id", "raw", "title", "doi")
-    lead = F.substring(F.ltrim(F.col("raw")), 1, 1)
+    lead = F.regexp_extract("raw", r"^[\s\ufeff]*(.)", 1)
     unparsed = F.col("title").isNull() & F.col("doi").isNull() & F.coalesce(lead.isin("{", "@"), F.lit(False))
     plain = c.where(~unparsed).select("citation_id", "title", "doi")
     taken = c.where(unparsed).withColumn("f", _raw_fields("raw")).select("citation_id", "f.title", "f.doi")
