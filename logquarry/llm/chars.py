@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.operators.nested import works_flat
+from logquarry.plans.nested_sql import titles_sql
 from logquarry.session import durable
 
 #: Letters of other scripts drawn like Latin ones.
@@ -115,8 +115,26 @@ def canonicalise(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
 
 
 def titles_of_items(api: DataFrame) -> DataFrame:
-    """(response_id, item_pos, title) of every title of every work."""
-    return works_flat(api, titles_only=True).where("value is not null").select("response_id", "item_pos", F.col("value").alias("title"))
+    """(response_id, item_pos, title) of every title of every work, read by DuckDB inside the Arrow partitions.
+
+    Error answers, broken and NULL bodies give no rows; a bare title counts as
+    a list of one; null and empty titles give none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        con = duckdb.connect(config={"threads": 1})
+        try:
+            for b in batches:
+                con.register("api_responses", pa.Table.from_batches([b]))
+                got = con.execute(f"WITH {titles_sql()} SELECT response_id, item_pos::BIGINT AS item_pos, title FROM it").to_arrow_table()
+                con.unregister("api_responses")
+                yield from got.cast(pa.schema([("response_id", pa.int64()), ("item_pos", pa.int64()), ("title", pa.string())])).combine_chunks().to_batches()
+        finally:
+            con.close()
+
+    return api.select(F.col("response_id").cast("bigint"), F.col("status_code").cast("int"), "body").mapInArrow(run, "response_id bigint, item_pos bigint, title string")
 
 
 def found(citations: DataFrame, api: DataFrame) -> DataFrame:
