@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions import text as T
 from logquarry.functions.vectors import search
-from logquarry.operators import graph, match, metrics, nested, sessions, temporal, templates, value
+from logquarry.operators import graph, match, metrics, nested, sessions, small, temporal, templates, value
 from logquarry.plans import learning
 from logquarry.session import load
 from logquarry.streaming import sessions as streaming
@@ -511,6 +511,43 @@ def coverage_unpivot(s: SparkSession, d: str) -> DataFrame:
     return m.groupBy("topic").agg(F.count_if(F.col("mark") == "yes").alias("full_marks"), F.count_if(F.col("mark") == "part").alias("part_marks"), F.round(F.count_if(F.col("mark") != "no") / F.count("*"), 6).alias("coverage"))
 
 
+@query(r"SELECT citation_id, CASE WHEN regexp_extract(raw, '^\s*(\S)', 1) = '@' THEN 'bibtex' WHEN regexp_extract(raw, '^\s*(\S)', 1) = '{' THEN 'json' ELSE 'text' END AS kind, '@' || type || '{' || entry_key || '}' AS synthetic FROM citations")
+def input_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Kind of each raw citation, and the text that stands in where there is none."""
+    return load(s, d, "citations").select("citation_id", small.input_kind(F.lit(""), F.col("raw")).alias("kind"), small.synthetic_raw(F.col("type"), F.col("entry_key")).alias("synthetic"))
+
+
+@query("SELECT citation_id, list_aggregate(list_sort(list_transform(authors, lambda a: lower(trim(string_split(a, ',')[1])))), 'string_agg', '|') AS surnames FROM citations WHERE len(authors) > 0")
+def surname_keys(s: SparkSession, d: str) -> DataFrame:
+    """Author keys for comparing records."""
+    return load(s, d, "citations").where(F.size("authors") > 0).select("citation_id", F.array_join(small.surname_key(F.col("authors")), "|").alias("surnames"))
+
+
+@query("SELECT count(*) AS n_lines, max(length(l)) AS longest, (SELECT count(DISTINCT w) FROM (SELECT unnest(regexp_split_to_array(l, ' +')) AS w FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)) WHERE w <> '') AS vocabulary FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)")
+def line_stats(s: SparkSession, d: str) -> DataFrame:
+    """Lines, longest line and vocabulary of the documents."""
+    return small.line_stats(load(s, d, "documents"), "text")
+
+
+@query("SELECT source, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY source")
+def source_histogram(s: SparkSession, d: str) -> DataFrame:
+    """Documents by source with their shares."""
+    return small.histogram_share(load(s, d, "documents"), "source")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY md5(event_id::VARCHAR || ':42'), event_id LIMIT 2048")
+def replay_sample(s: SparkSession, d: str) -> DataFrame:
+    """2,048 events without replacement: the sample is the feature."""
+    return small.replay_sample(load(s, d, "events").select("event_id", "user_id"), "event_id", 2048)
+
+
+@query("SELECT state, count(*) AS n FROM (SELECT event_id % 7 AS state FROM events) GROUP BY state")
+def one_hot_sums(s: SparkSession, d: str) -> DataFrame:
+    """One-hot vectors summed by position."""
+    v = load(s, d, "events").select(F.posexplode(small.one_hot((F.col("event_id") % 7).cast("int"), 7)).alias("state", "x"))
+    return v.groupBy(F.col("state").cast("bigint").alias("state")).agg(F.sum("x").cast("bigint").alias("n"))
+
+
 # ---- time -------------------------------------------------------------------------------------
 
 

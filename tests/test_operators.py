@@ -205,3 +205,18 @@ def test_title_search_is_exact(spark):
     want = {(q, o) for q in sets if q % 20 == 0 for o in sorted((o for o in sets if f1(sets[q], sets[o]) >= 0.7), key=lambda o: (-f1(sets[q], sets[o]), o))[:5]}
     got = match.best_by_tokens(df.where("other % 20 = 0").withColumnRenamed("other", "id"), df).collect()
     assert {(r["id"], r["other"]) for r in got} == want
+
+
+def test_small_operators(spark):
+    from logquarry.operators import small
+
+    d = spark.createDataFrame([(0,), (2,), (None,)], "s int")
+    assert [r[0] for r in d.select(small.one_hot(F.col("s"), 3)).collect()] == [[1.0, 0.0, 0.0], [0.0, 0.0, 1.0], None]
+    with pytest.raises(Exception, match="not in"):
+        spark.createDataFrame([(3,)], "s int").select(small.one_hot(F.col("s"), 3)).collect()
+    p = spark.createDataFrame([(2025, "I", True), (2023, "I", True), (2025, "II", True), (2025, "I", None)], "year int, tier string, has_code boolean")
+    assert small.literature_filter(p).count() == 1
+    assert one(spark, small.input_kind(F.col("a"), F.col("b")), a="x.BIB", b="text") == "bibtex"
+    w = spark.range(1).select(small.weighted_score(*[F.lit(x) for x in (1.0, 1.0, 1.0, 1.0, 1.0)])).first()[0]
+    assert w == pytest.approx(0.8)
+    assert small.line_stats(spark.createDataFrame([("a b\nccc",), (None,)], "t string"), "t").first() == (2, 3, 3)
