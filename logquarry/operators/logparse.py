@@ -101,23 +101,20 @@ JSON_MESSAGE = ["message", "msg"]
 CHUNK = 100_000
 #: Split at single tokens where a position has at most so many, else by class.
 MAX_BRANCH = 64
-#: Longest header, in tokens: what a template types; longer lines are read whole all the same.
-ROUNDS = 6
+#: Rounds of splitting before what is still mixed is closed by all classes at once.
+ROUNDS = 4
 
 
 def _class_of(tok: Column) -> Column:
     c = F.lit("w")
     for letter, pattern in reversed(CLASSES):
         c = F.when(tok.rlike(pattern), letter).otherwise(c)
-    return c
+    return F.when(tok.rlike("^[a-z][a-z.,_-]*$"), "w").otherwise(c)  # plain words, the most of all tokens, fit no class
 
 
 def _level_of(tok: Column) -> Column:
-    up = F.upper(tok)
-    c = F.lit(None).cast("string")
-    for k, v in LEVELS.items():
-        c = F.when(up == k, v).otherwise(c)
-    return c
+    names = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])
+    return F.try_element_at(names, F.upper(tok))  # one reading of the token, however it is come by
 
 
 def tokenise(lines: DataFrame) -> DataFrame:
@@ -133,19 +130,21 @@ def templates(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes, template), where classes has one letter a position ('?' where a
     position mixes classes) and template shows constants and ``<*>`` slots.
     """
+    masked = lambda x: F.regexp_replace(x, "[0-9]+", "0")
     lines = heads.select(
         "LineId", F.size("toks").alias("n"),
-        F.transform("toks", lambda x: F.regexp_replace(x, "[0-9]+", "0")).alias("mask"),
+        F.transform("toks", masked).alias("mask"),
         F.transform("toks", _class_of).alias("cls"),
     )
     lines = lines.withColumn("shape", F.md5(F.concat_ws("\u0001", F.concat_ws("", "cls"), F.concat_ws("\u0001", "mask"))))
+    lines = durable(lines)
     # lines with equal masks and classes take the same way: partition the distinct shapes, not the lines
     shapes = durable(lines.groupBy("shape", "n", "mask", "cls").agg(F.count("*").alias("rows")).withColumn("leaf", F.concat(F.lit("n"), F.col("n").cast("string"))))
     done: DataFrame | None = None
     todo = shapes.select("shape", "leaf", "n", "mask", "cls", "rows")
     for step in range(ROUNDS + 2):
         per = todo.select("leaf", F.posexplode(F.arrays_zip("mask", "cls")).alias("pos", "z"))
-        card = per.groupBy("leaf", "pos").agg(F.approx_count_distinct("z.mask").alias("k"), F.min("z.cls").alias("c0"), F.max("z.cls").alias("c1"))
+        card = per.groupBy("leaf", "pos").agg(F.approx_count_distinct(F.concat("z.cls", "z.mask")).alias("k"), F.min("z.cls").alias("c0"), F.max("z.cls").alias("c1"))
         mixed = F.col("c0") != F.col("c1")
         pick = card.groupBy("leaf").agg(
             F.min(F.when(mixed if step else F.col("k") > 1, F.struct("k", "pos"))).alias("p"),
@@ -295,7 +294,8 @@ def entries(log_lines: DataFrame) -> DataFrame:
     d = _header_fields(base.join(typed, "LineId", "left"))
     d = d.withColumn("head", F.col("head") | F.col("parsed"))
     # ' "key": value' members that follow an opening brace on lines of their own
-    member = F.when(F.col("first").rlike(r'^\s*"[^"]+"\s*:') | F.col("first").rlike(r"^\}"), F.col("first"))
+    named = "|".join(JSON_TIME + JSON_LEVEL + JSON_COMPONENT + JSON_MESSAGE)
+    member = F.when(F.col("first").rlike(rf'^\s*"({named})"\s*:'), F.col("first"))
     second = F.regexp_extract(F.coalesce(F.get(F.split(F.col("Content"), "\n"), F.lit(1)), F.lit("")), r"^([A-Z]+): ", 1)
     d = durable(
         d.select(
@@ -304,7 +304,7 @@ def entries(log_lines: DataFrame) -> DataFrame:
             F.when(F.col("parsed"), F.col("Component")).otherwise(F.col("comp")).alias("comp"),
             F.when(F.col("parsed"), F.concat_ws(" ", "Date", "Time")).otherwise(F.col("at")).alias("at"),
             F.when(F.col("parsed"), F.col("Content")).when(F.col("layout") == "jsonopen", F.col("msg")).otherwise(F.concat_ws("\n", "msg", F.get(F.split(F.col("Content"), "\n", 2), F.lit(1)))).alias("msg"),
-            member.alias("member"), F.nullif(second, F.lit("")).alias("second"), F.nullif(F.regexp_extract("first", r"^([A-Z]+): ", 1), F.lit("")).alias("own"), F.when(F.col("first").rlike(r"^[A-Z]+: "), F.col("first")).alias("msg0"),
+            member.alias("member"), F.col("first").rlike(r"^\}").alias("closes"), F.nullif(second, F.lit("")).alias("second"), F.nullif(F.regexp_extract("first", r"^([A-Z]+): ", 1), F.lit("")).alias("own"), F.when(F.col("first").rlike(r"^[A-Z]+: "), F.col("first")).alias("msg0"),
             F.col("Content").contains("\n").alias("multi"),
         )
     )
@@ -314,13 +314,14 @@ def entries(log_lines: DataFrame) -> DataFrame:
         F.max(F.when(~body, F.struct("layout", "template", "lv", "comp", "at", "msg", "second", "multi"))).alias("h"),
         F.min(F.when(body, F.struct("LineId", "own"))).alias("next"),
         F.array_sort(F.collect_list(F.when(body & F.col("member").isNotNull(), F.struct("LineId", "member")))).alias("members"),
+        F.min(F.when(body & F.col("closes"), F.col("LineId"))).alias("closing"),
         F.max("LineId").alias("last_line"), F.count("*").alias("n_rows"),
         F.min(F.when(body, F.struct("LineId", "msg0"))).alias("next_msg"),
     )
     # an opening brace is a header only if the object after it has time and message
     opened = (F.col("h.layout") == "jsonopen") & ~F.coalesce(F.col("h.multi"), F.lit(False))
-    closing = F.array_position(F.transform("members", lambda x: x.member.rlike(r"^\}")), True)
-    text = F.concat(F.lit("{"), F.regexp_replace(F.concat_ws("\n", F.transform(F.slice("members", F.lit(1), F.when(closing > 0, (closing - 1).cast("int")).otherwise(0)), lambda x: x.member)), r",\s*$", ""), F.lit("}"))
+    own = F.transform(F.filter("members", lambda x: x.LineId < F.col("closing")), lambda x: F.regexp_replace(x.member, r",\s*$", ""))
+    text = F.concat(F.lit("{"), F.concat_ws(",\n", own), F.lit("}"))
     prov = prov.withColumn("js", F.when(opened, text))
     js = F.col("js")
     prov = prov.select(
