@@ -27,11 +27,16 @@ _ARROW = pa.schema(
 
 
 class _Shredder:
-    """Collects the bridge rows of one Arrow batch, each distinct parent once."""
+    """Collects the bridge rows of one Arrow batch, each distinct parent once.
 
-    def __init__(self) -> None:
+    With ``keep`` only members of these names are stored, on the way from the
+    root; identities cover whole subtrees all the same.
+    """
+
+    def __init__(self, keep: frozenset[str] | None = None) -> None:
         self.rows: list[tuple] = []
         self.seen: set[bytes] = set()
+        self.keep = keep
 
     @staticmethod
     def _hash(tag: str, parts: list[bytes]) -> bytes:
@@ -44,13 +49,16 @@ class _Shredder:
     def add(self, root) -> tuple[bytes, str, bool]:
         """Identity, kind and filled-flag of a value; adds bridge rows.  Iterative, so depth is not bound by recursion."""
         out: list[tuple[bytes, str, bool, str | None]] = []
-        stack: list[tuple[object, bool]] = [(root, False)]
+        keep = self.keep
+        stack: list[tuple[object, bool, bool]] = [(root, False, True)]
         while stack:
-            v, ready = stack.pop()
+            v, ready, on = stack.pop()
             if isinstance(v, (dict, list)) and not ready:
-                stack.append((v, True))
-                kids = [v[k] for k in sorted(v)] if isinstance(v, dict) else v
-                stack.extend((x, False) for x in reversed(kids))
+                stack.append((v, True, on))
+                if isinstance(v, dict):
+                    stack.extend((v[k], False, on and (keep is None or k in keep)) for k in sorted(v, reverse=True))
+                else:
+                    stack.extend((x, False, on) for x in reversed(v))
                 continue
             if isinstance(v, (dict, list)):
                 n = len(v)
@@ -62,10 +70,11 @@ class _Shredder:
                 for k, (h, *_) in zip(keys, kids):
                     parts += ([k.encode("utf-8", "surrogatepass")] if k is not None else []) + [h]
                 me = self._hash(kind, parts)
-                if me not in self.seen:
+                if on and me not in self.seen:
                     self.seen.add(me)
                     for i, (k, (h, kd, fl, val)) in enumerate(zip(keys, kids)):
-                        self.rows.append((None, me, k, i, h, kd, fl, val))
+                        if k is None or keep is None or k in keep:
+                            self.rows.append((None, me, k, i, h, kd, fl, val))
                 out.append((me, kind, n > 0, None))
             elif v is None:
                 out.append((self._hash("null", []), "null", False, None))
@@ -104,9 +113,9 @@ def read_answer(status_code, body) -> dict | None:
     return msg
 
 
-def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shred_batches(batches: Iterator[pa.RecordBatch], keep: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        s = _Shredder()
+        s = _Shredder(keep)
         ids, codes, bodies = (b.column(i).to_pylist() for i in range(3))
         for rid, code, body in zip(ids, codes, bodies):
             msg = read_answer(code, body)
@@ -116,7 +125,7 @@ def _shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             s.rows.append((rid, None, None, 0, h, kind, filled, None))
             if len(s.rows) >= 20_000:
                 yield _batch(s.rows)
-                s = _Shredder()
+                s = _Shredder(keep)
         if s.rows:
             yield _batch(s.rows)
 
@@ -125,7 +134,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def shred(api: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shred(api: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(occurrences, bridge)`` of the messages in ``api_responses``.
 
     occurrences: (response_id, root), one row per readable answer.
@@ -133,11 +142,13 @@ def shred(api: DataFrame) -> tuple[DataFrame, DataFrame]:
     member of each distinct object or array; key is NULL inside arrays, value
     holds scalars, filled is false for null, '' and empty containers.
 
-    NULL bodies, error answers and broken text give no rows; a repeated answer
+    ``keep`` names the members to store, if not all.  NULL bodies, error
+    answers and broken text give no rows; a repeated answer
     adds an occurrence, not a second copy of its objects; further columns of
     the input are ignored; an empty input gives two empty tables.
     """
-    raw = durable(api.select(F.col("response_id").cast("bigint"), F.col("status_code").cast("int"), "body").mapInArrow(_shred_batches, SHRED_SCHEMA))
+    names = frozenset(keep) if keep else None
+    raw = durable(api.select(F.col("response_id").cast("bigint"), F.col("status_code").cast("int"), "body").mapInArrow(lambda b: _shred_batches(b, names), SHRED_SCHEMA))
     occ = raw.where("parent is null").select("response_id", F.col("child").alias("root"))
     bridge = durable(raw.where("parent is not null").drop("response_id").distinct())
     return occ, bridge
@@ -165,21 +176,16 @@ def _elements(df: DataFrame, bridge: DataFrame, pos: str) -> DataFrame:
     return bare.select(*deep.columns).unionByName(deep)
 
 
-def works_flat(api: DataFrame, titles_only: bool = False) -> DataFrame:
+def works_flat(api: DataFrame) -> DataFrame:
     """Nodes of every work: (response_id, item_pos, node, pos, subpos, value, object_id).
 
-    With ``titles_only`` just the title nodes, from the members that lead to them.
-
     node is item, doi, title, author, affiliation or date_part; value is the
     scalar text where the node is one, object_id the identity of the subtree,
     so equal authors or works share it and the rows of a work are linked to it
     by (response_id, item_pos).  Null, missing and empty values give no row;
     nulls inside an array keep the positions of the rest.
     """
-    occ, bridge = shred(api)
-    # what the levels below read: the members asked for, and the elements of arrays
-    wanted = ["items", "title"] if titles_only else ["items", "DOI", "title", "author", "indexed", "affiliation", "date-parts"]
-    bridge = bridge.where(F.col("key").isNull() | F.col("key").isin(wanted))
+    occ, bridge = shred(api, ["items", "DOI", "title", "author", "indexed", "affiliation", "date-parts"])
     roots = occ.select("root").distinct()
     fields = ("child", "kind", "filled", "value")
     under = _members(roots.withColumn("at", F.col("root")), bridge, ["items"])
@@ -191,12 +197,8 @@ def works_flat(api: DataFrame, titles_only: bool = False) -> DataFrame:
     items = durable(items.select("root", "item_pos", *fields).unionByName(single))
     distinct_works = items.where("kind = 'object'").select(F.col("child").alias("work")).distinct()
     none = F.lit(-1)
-    got = _members(distinct_works.withColumn("at", F.col("work")), bridge, [k for k in ("DOI", "title", "author", "indexed") if k in wanted]).where("filled")
+    got = _members(distinct_works.withColumn("at", F.col("work")), bridge, ["DOI", "title", "author", "indexed"]).where("filled")
     got = durable(got.select("work", F.col("key").alias("field"), *fields))
-    if titles_only:
-        t = _elements(got, bridge, "pos").where("filled").select("work", "pos", "value", "child")
-        t = items.where("kind = 'object'").select("root", "item_pos", F.col("child").alias("work")).join(t, "work")
-        return occ.join(t, "root").select("response_id", "item_pos", F.lit("title").alias("node"), "pos", none.alias("subpos"), "value", F.col("child").alias("object_id"))
     doi = got.where("field = 'DOI'").select("work", F.lit("doi").alias("node"), none.alias("pos"), none.alias("subpos"), "value", "child")
     lists = durable(_elements(got.where("field in ('title','author')"), bridge, "pos").where("filled"))
     flat1 = lists.select("work", F.col("field").alias("node"), "pos", none.alias("subpos"), "value", "child")
