@@ -96,10 +96,10 @@ def split_text(text: str, t: Tokens, limit: int = LIMIT, overlap: int = OVERLAP)
     for i, (a, b) in enumerate(zip(firsts, firsts[1:])):
         start, more = a[0], 0
         if i:
-            least = firsts[i - 1][0]
+            least = out[-1][0]
             back = next((m.start() for m in _BLANK.finditer(text, max(least, a[0] - 8 * overlap), a[0])), least)
             chars, more = t.tail(text[back : a[0]], overlap)
-            if more < overlap and back > least:  # short of tokens: look at all of the segment before
+            if more < overlap and back > least:  # short of tokens: look at all of the piece before
                 chars, more = t.tail(text[least : a[0]], overlap)
             start = a[0] - chars
         out.append((start, a[0], b[0], b[1] - a[1] + more))

@@ -25,8 +25,8 @@ def _check(text, limit, overlap):
     got = split.split_text(text, T, limit, overlap)
     assert got[0][0] == 0 and got[-1][2] == len(text)
     assert "".join(text[c:e] for _, c, e, _ in got) == text
-    for (_, _, pe, _), (s, c, _, _) in zip(got, got[1:]):
-        assert pe == c and overlap <= len(T.encode(text[s:c])) + 3
+    for (ps, _, pe, _), (s, c, _, _) in zip(got, got[1:]):
+        assert pe == c and (overlap <= len(T.encode(text[s:c])) + 3 or s == ps)  # a piece may be shorter than the overlap
     assert all(n <= limit and len(T.encode(text[s:e])) <= limit for s, _, e, n in got)
     return got
 
