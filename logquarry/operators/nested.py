@@ -154,6 +154,30 @@ def shred(api: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, Dat
     return occ, bridge
 
 
+def _first_title(msg: dict) -> str | None:
+    """First title of the first work, the one with which a search answer is scored; None where that work has none."""
+    works = msg["items"] if "items" in msg else [msg]
+    work = next((w for w in (works if isinstance(works, list) else [works]) if w is not None), None)
+    title = work.get("title") if isinstance(work, dict) else None
+    found = next((t for t in (title if isinstance(title, list) else [title]) if isinstance(t, str) and t), None)
+    return found and found.encode("utf-8", "replace").decode()
+
+
+def first_titles(api: DataFrame, keep: list[str]) -> DataFrame:
+    """(response_id, *keep, title) of every readable answer whose first work has a title; ``keep`` names columns to pass on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            msgs = (read_answer(*x) for x in zip(b.column("status_code").to_pylist(), b.column("body").to_pylist()))
+            titles = pa.array([None if m is None else _first_title(m) for m in msgs], pa.string())
+            out = b.select(["response_id", *keep])
+            yield pa.RecordBatch.from_arrays([*out.columns, titles], names=[*out.schema.names, "title"])
+
+    d = api.select("response_id", *keep, F.col("status_code").cast("int"), "body")
+    schema = d.select("response_id", *keep, F.col("body").alias("title")).schema
+    return d.mapInArrow(run, schema).where("title is not null")
+
+
 def nodes(bridge: DataFrame) -> DataFrame:
     """One row per distinct object or array: identity, number of members, number of places it is used."""
     own = bridge.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_members"))

@@ -11,6 +11,7 @@ from logquarry.functions import text as T
 from logquarry.functions.vectors import search
 from logquarry.operators import graph, match, metrics, nested, sessions, small, temporal, templates, value
 from logquarry.plans import learning
+from logquarry.plans.nested_sql import first_titles_sql
 from logquarry.session import load
 from logquarry.streaming import sessions as streaming
 
@@ -376,19 +377,33 @@ def title_normalised(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "citations").select("citation_id", T.normalise_title(F.col("title")).alias("norm"))
 
 
-_PAIR = f"""rec AS (SELECT response_id, citation_id, json_extract_string(body, '$.message.title[0]') AS ct FROM api_responses WHERE status_code = 200 AND citation_id IS NOT NULL AND json_valid(body)),
-pr AS (SELECT r.response_id, c.citation_id, {_norm_sql('c.title')} AS en, {_norm_sql('r.ct')} AS cn FROM rec r JOIN citations c USING (citation_id) WHERE c.title IS NOT NULL AND r.ct IS NOT NULL),
+_REC = """rec AS (SELECT response_id, citation_id, json_extract_string(body, '$.message.title[0]') AS ct FROM api_responses WHERE status_code = 200 AND citation_id IS NOT NULL AND json_valid(body))"""
+
+_SCORED = f"""pr AS (SELECT r.response_id, c.citation_id, {_norm_sql('c.title')} AS en, {_norm_sql('r.ct')} AS cn FROM rec r JOIN citations c USING (citation_id) WHERE c.title IS NOT NULL AND r.ct IS NOT NULL),
 tk AS (SELECT *, list_filter(string_split(en, ' '), lambda x: x <> '' AND NOT list_contains({_STOP}, x)) AS ew, list_filter(string_split(cn, ' '), lambda x: x <> '' AND NOT list_contains({_STOP}, x)) AS cw FROM pr),
 it AS (SELECT *, len(ew) AS e, len(cw) AS c, list_sum([0] || list_transform(list_distinct(ew), lambda x: least(len(list_filter(ew, lambda y: y = x)), len(list_filter(cw, lambda y: y = x)))))::INT AS inter FROM tk),
 sc AS (SELECT *, CASE WHEN en = cn AND en <> '' THEN 1.0 WHEN e < 3 OR c = 0 OR inter = 0 THEN 0.0 ELSE round(2.0 * (inter / c) * (inter / e) / (inter / c + inter / e), 6) END AS f1, round(coalesce(inter / nullif(least(e, c), 0), 0.0), 2) AS containment FROM it)"""
+_PAIR = f"{_REC},\n{_SCORED}"
+
+#: As _PAIR, over the first work of every readable answer instead.
+_WORKS_PAIR = f"{first_titles_sql()}, rec AS (SELECT response_id, citation_id, title AS ct FROM ft JOIN api_responses USING (response_id) WHERE citation_id IS NOT NULL),\n{_SCORED}"
 
 
 def _compared(s: SparkSession, d: str) -> DataFrame:
     r = load(s, d, "api_responses").where("status_code = 200 and citation_id is not null").select("response_id", "citation_id", F.try_variant_get(F.try_parse_json("body"), "$.message.title[0]", "string").alias("ct")).where("ct is not null")
+    return _scored(s, d, r)
+
+
+def _scored(s: SparkSession, d: str, r: DataFrame) -> DataFrame:
     c = load(s, d, "citations").where("title is not null").select("citation_id", "title")
     return match.title_match(r.join(c, "citation_id"), "title", "ct")
 
 
+def _works_compared(s: SparkSession, d: str) -> DataFrame:
+    r = nested.first_titles(load(s, d, "api_responses").where("citation_id is not null"), ["citation_id"])
+    return _scored(s, d, r.withColumnRenamed("title", "ct"))
+
+
 @query(f"WITH {_PAIR} SELECT response_id, citation_id, e::INT AS e, c::INT AS c, inter, f1::DOUBLE AS f1, containment FROM sc")
 def token_multiset_f1(s: SparkSession, d: str) -> DataFrame:
     """Multiset F1 of a citation's title and the record looked up for it."""
@@ -407,6 +422,24 @@ def containment_advisory(s: SparkSession, d: str) -> DataFrame:
     return match.containment_advisory(_compared(s, d)).select("response_id", "citation_id", "advisory")
 
 
+@query(f"WITH {_WORKS_PAIR} SELECT response_id, citation_id, e::INT AS e, c::INT AS c, inter, f1::DOUBLE AS f1, containment FROM sc")
+def works_token_multiset_f1(s: SparkSession, d: str) -> DataFrame:
+    """Multiset F1 of a citation's title and the first work of every readable answer for it."""
+    return _works_compared(s, d).select("response_id", "citation_id", "e", "c", "inter", "f1", "containment")
+
+
+@query(f"WITH {_WORKS_PAIR} SELECT response_id, citation_id, CASE WHEN en = cn AND en <> '' THEN 'EXACT' WHEN e < 3 OR c = 0 THEN 'INSUFFICIENT' WHEN f1 >= 0.85 THEN 'STRONG_MATCH' WHEN f1 >= 0.70 THEN 'MATCH' WHEN f1 >= 0.40 THEN 'WEAK_MATCH' ELSE 'MISMATCH' END AS verdict FROM sc")
+def works_title_verdict(s: SparkSession, d: str) -> DataFrame:
+    """Verdict on the first work of every readable answer."""
+    return _works_compared(s, d).select("response_id", "citation_id", "verdict")
+
+
+@query(f"WITH {_WORKS_PAIR} SELECT response_id, citation_id, f1 >= 0.60 AND f1 < 0.70 AND containment >= 0.90 AS advisory FROM sc")
+def works_containment_advisory(s: SparkSession, d: str) -> DataFrame:
+    """Advisory where the shorter title lies in the longer, over the first work of every readable answer."""
+    return match.containment_advisory(_works_compared(s, d)).select("response_id", "citation_id", "advisory")
+
+
 @query()
 def title_search(s: SparkSession, d: str) -> DataFrame:
     """The five citations that match each title whose citation_id is divisible by 20 best, at a word F1 of 0.70 or more."""
@@ -451,13 +484,15 @@ def lookup_route(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "citations").select("citation_id", T.lookup_route(F.col("doi"), F.col("nber_number"), F.col("title")).alias("route"))
 
 
-_VERD = f"""{_PAIR}, vd AS (SELECT citation_id, CASE max(CASE WHEN (en = cn AND en <> '') OR (f1 >= 0.70 AND e >= 3 AND c > 0) THEN 4 WHEN e < 3 OR c = 0 THEN 1 WHEN f1 >= 0.40 THEN 3 ELSE 2 END) WHEN 4 THEN 'MATCH' WHEN 3 THEN 'WEAK_MATCH' WHEN 2 THEN 'MISMATCH' ELSE 'INSUFFICIENT' END AS v FROM sc GROUP BY citation_id),
+_STATUS = f"""vd AS (SELECT citation_id, CASE max(CASE WHEN (en = cn AND en <> '') OR (f1 >= 0.70 AND e >= 3 AND c > 0) THEN 4 WHEN e < 3 OR c = 0 THEN 1 WHEN f1 >= 0.40 THEN 3 ELSE 2 END) WHEN 4 THEN 'MATCH' WHEN 3 THEN 'WEAK_MATCH' WHEN 2 THEN 'MISMATCH' ELSE 'INSUFFICIENT' END AS v FROM sc GROUP BY citation_id),
 st AS (SELECT c.citation_id, CASE WHEN {_ROUTE} = 'insufficient_data' THEN 'NEEDS_MANUAL_VERIFICATION' WHEN v IS NULL THEN 'NOT_FOUND' WHEN v = 'MATCH' THEN 'VERIFIED' WHEN v = 'WEAK_MATCH' THEN 'PARTIAL_MATCH' WHEN v = 'MISMATCH' AND {_ROUTE} IN ('doi', 'nber') THEN 'METADATA_MISMATCH' WHEN v = 'MISMATCH' THEN 'NOT_FOUND' ELSE 'NEEDS_MANUAL_VERIFICATION' END AS status FROM citations c LEFT JOIN vd USING (citation_id))"""
+_VERD = f"{_PAIR}, {_STATUS}"
+_WORKS_VERD = f"{_WORKS_PAIR}, {_STATUS}"
 
 
-def _verdicts(s: SparkSession, d: str) -> DataFrame:
+def _verdicts(s: SparkSession, d: str, compared: DataFrame) -> DataFrame:
     rank = F.when(F.col("verdict").isin("EXACT", "STRONG_MATCH", "MATCH"), 4).when(F.col("verdict") == "WEAK_MATCH", 3).when(F.col("verdict") == "MISMATCH", 2).otherwise(1)
-    best = _compared(s, d).groupBy("citation_id").agg(F.max(rank).alias("k"))
+    best = compared.groupBy("citation_id").agg(F.max(rank).alias("k"))
     c = load(s, d, "citations").select("citation_id", "raw", T.lookup_route(F.col("doi"), F.col("nber_number"), F.col("title")).alias("lookup_mode")).join(best, "citation_id", "left")
     v = F.when(F.col("k") == 4, "MATCH").when(F.col("k") == 3, "WEAK_MATCH").when(F.col("k") == 2, "MISMATCH").when(F.col("k") == 1, "INSUFFICIENT")
     return c.select(F.col("citation_id").alias("index"), "raw", "lookup_mode", match.status_of(v, F.col("lookup_mode"), F.col("k").isNotNull()).alias("status"))
@@ -466,13 +501,25 @@ def _verdicts(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_VERD} SELECT citation_id, status FROM st")
 def verdict_case(s: SparkSession, d: str) -> DataFrame:
     """Status of each citation against the records looked up for it."""
-    return _verdicts(s, d).select(F.col("index").alias("citation_id"), "status")
+    return _verdicts(s, d, _compared(s, d)).select(F.col("index").alias("citation_id"), "status")
 
 
 @query(f"WITH {_VERD} SELECT v.status, count(st.status) AS n FROM (VALUES ('VERIFIED'), ('PARTIAL_MATCH'), ('METADATA_MISMATCH'), ('NOT_FOUND'), ('NEEDS_MANUAL_VERIFICATION')) v(status) LEFT JOIN st USING (status) GROUP BY v.status")
 def status_counts(s: SparkSession, d: str) -> DataFrame:
     """Citations by status."""
-    return match.status_counts(_verdicts(s, d))
+    return match.status_counts(_verdicts(s, d, _compared(s, d)))
+
+
+@query(f"WITH {_WORKS_VERD} SELECT citation_id, status FROM st")
+def works_verdict_case(s: SparkSession, d: str) -> DataFrame:
+    """Status of each citation against the first work of every readable answer for it."""
+    return _verdicts(s, d, _works_compared(s, d)).select(F.col("index").alias("citation_id"), "status")
+
+
+@query(f"WITH {_WORKS_VERD} SELECT v.status, count(st.status) AS n FROM (VALUES ('VERIFIED'), ('PARTIAL_MATCH'), ('METADATA_MISMATCH'), ('NOT_FOUND'), ('NEEDS_MANUAL_VERIFICATION')) v(status) LEFT JOIN st USING (status) GROUP BY v.status")
+def works_status_counts(s: SparkSession, d: str) -> DataFrame:
+    """Citations by status, against the first work of every readable answer."""
+    return match.status_counts(_verdicts(s, d, _works_compared(s, d)))
 
 
 @query("SELECT coalesce(doi, raw) AS key, count(*) AS n FROM citations GROUP BY 1 HAVING count(*) > 1 AND coalesce(doi, raw) IS NOT NULL")

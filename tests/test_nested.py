@@ -1,6 +1,9 @@
 import json
 
+import duckdb
+
 from logquarry.operators import nested
+from logquarry.plans.nested_sql import first_titles_sql
 
 SCHEMA = "response_id long, status_code int, body string, extra string, root string"
 
@@ -53,3 +56,18 @@ def test_deep_and_long(spark):
 def test_a_hot_answer(spark):
     body = json.dumps({"message": {"items": [{"title": ["a"]}] * 3}})
     assert len(flat(spark, [(200, body)] * 2000)) == 12_000
+
+
+def test_first_titles_of_every_envelope(spark):
+    w = {"title": [None, "B", "C"]}
+    bodies = [
+        (200, json.dumps({"message": w})), (200, json.dumps({"message": {"title": "bare"}})), (200, json.dumps({"message": {"items": [None, w, {"title": "later"}]}})),
+        (200, json.dumps({"message": json.dumps({"items": {"title": "text"}})})), (200, json.dumps({"message": {"items": [{"DOI": "d"}, w]}})), (200, json.dumps({"message": {"items": []}})),
+        (404, json.dumps({"message": w})), (200, "{"), (None, json.dumps({"message": w})), (200, json.dumps({"message": {"items": ["x"], "title": "no"}})), (200, None),
+    ]
+    df = spark.createDataFrame([(i, c, b, i * 10) for i, (c, b) in enumerate(bodies)], "response_id long, status_code int, body string, citation_id long")
+    got = sorted(map(tuple, nested.first_titles(df, ["citation_id"]).collect()))
+    assert got == [(0, 0, "B"), (1, 10, "bare"), (2, 20, "B"), (3, 30, "text"), (8, 80, "B")]
+    con = duckdb.connect()
+    con.register("api_responses", df.toArrow())
+    assert sorted(con.execute(f"WITH {first_titles_sql()} SELECT response_id, title FROM ft").fetchall()) == [(i, t) for i, _, t in got]
