@@ -274,7 +274,7 @@ def _before(df: DataFrame, mark: str, out: str) -> DataFrame:
     return d.withColumn(out, F.coalesce("here", "carry")).drop("chunk", "here", "lr_", "ch_", "carry")
 
 
-def entries(log_lines: DataFrame) -> DataFrame:
+def entries(log_lines: DataFrame, bodies: bool = True) -> DataFrame:
     """One row per log entry: (Logrecord, first_line, last_line, time_text, ts, level, component, message, n_rows, layout, template).
 
     ``log_lines`` needs LineId, Logrecord, Date, Time, Level, Component,
@@ -283,7 +283,10 @@ def entries(log_lines: DataFrame) -> DataFrame:
     whose template has no header belong to the entry before them in the same
     Logrecord (NULL is one Logrecord of its own); rows before the first entry
     belong to none.  Repeated LineIds count once.  level is '' where the header
-    has none.  message is the text after the header in the header's own row;
+    has none.  message is the text after the header with the further rows of
+    the entry as lines below it, however the entry was delivered, NULL rows
+    being blank lines; rows of a JSON object that is the header are no text of
+    their own.  Without ``bodies`` the further rows are left out of it.
     n_rows counts the rows of the entry.  An empty table gives no rows.
     """
     base = log_lines.select(F.col("LineId").cast("bigint"), "Logrecord", "Date", "Time", "Level", "Component", "Content").dropDuplicates(["LineId"])
@@ -297,15 +300,17 @@ def entries(log_lines: DataFrame) -> DataFrame:
     named = "|".join(JSON_TIME + JSON_LEVEL + JSON_COMPONENT + JSON_MESSAGE)
     member = F.when(F.col("first").rlike(rf'^\s*"({named})"\s*:'), F.col("first"))
     second = F.regexp_extract(F.coalesce(F.get(F.split(F.col("Content"), "\n"), F.lit(1)), F.lit("")), r"^([A-Z]+): ", 1)
+    behind = F.when(F.col("Content").contains("\n"), F.regexp_replace("Content", r"(?s)^\{.*?\n\}[ \t]*\r?\n?", ""))  # text after an object
     d = durable(
         d.select(
             "LineId", "Logrecord", F.when(F.col("head"), F.col("LineId")).alias("mark"), F.when(F.col("parsed"), "parsed").otherwise(F.col("layout")).alias("layout"), "template",
             F.when(F.col("parsed"), _level_of(F.trim("Level"))).otherwise(F.col("lv")).alias("lv"),
             F.when(F.col("parsed"), F.col("Component")).otherwise(F.col("comp")).alias("comp"),
             F.when(F.col("parsed"), F.concat_ws(" ", "Date", "Time")).otherwise(F.col("at")).alias("at"),
-            F.when(F.col("parsed"), F.col("Content")).when(F.col("layout") == "jsonopen", F.col("msg")).otherwise(F.concat_ws("\n", "msg", F.get(F.split(F.col("Content"), "\n", 2), F.lit(1)))).alias("msg"),
+            F.when(F.col("parsed"), F.col("Content")).when(F.col("layout") == "jsonopen", F.when(F.nullif(behind, F.lit("")).isNotNull(), F.concat_ws("\n", "msg", behind)).otherwise(F.col("msg"))).otherwise(F.concat_ws("\n", "msg", F.get(F.split(F.col("Content"), "\n", 2), F.lit(1)))).alias("msg"),
             member.alias("member"), F.col("first").rlike(r"^\}").alias("closes"), F.nullif(second, F.lit("")).alias("second"), F.nullif(F.regexp_extract("first", r"^([A-Z]+): ", 1), F.lit("")).alias("own"), F.when(F.col("first").rlike(r"^[A-Z]+: "), F.col("first")).alias("msg0"),
             F.col("Content").contains("\n").alias("multi"),
+            (F.when(~F.col("head") | (F.col("layout") == "jsonopen"), F.coalesce("Content", F.lit(""))) if bodies else F.lit(None).cast("string")).alias("text"),
         )
     )
     d = _before(d, "mark", "prov")
@@ -317,6 +322,7 @@ def entries(log_lines: DataFrame) -> DataFrame:
         F.min(F.when(body & F.col("closes"), F.col("LineId"))).alias("closing"),
         F.max("LineId").alias("last_line"), F.count("*").alias("n_rows"),
         F.min(F.when(body, F.struct("LineId", "msg0"))).alias("next_msg"),
+        F.collect_list(F.when(body & F.col("text").isNotNull(), F.struct("LineId", "text"))).alias("below"), F.max(F.when(~body, F.col("text"))).alias("opening"),
     )
     # an opening brace is a header only if the object after it has time and message
     opened = (F.col("h.layout") == "jsonopen") & ~F.coalesce(F.col("h.multi"), F.lit(False))
@@ -324,20 +330,27 @@ def entries(log_lines: DataFrame) -> DataFrame:
     text = F.concat(F.lit("{"), F.concat_ws(",\n", own), F.lit("}"))
     prov = prov.withColumn("js", F.when(opened, text))
     js = F.col("js")
+    # of an object that is a header, only what stands behind its last brace is further text
+    last = F.regexp_replace(F.get(F.transform(F.filter("below", lambda x: x.LineId == F.col("closing")), lambda x: x.text), F.lit(0)), r"^\}[ \t]*\r?\n?", "")
+    after = F.concat(F.when(F.length(last) > 0, F.array(F.struct(F.col("closing").alias("LineId"), last.alias("text")))).otherwise(F.filter("below", lambda x: F.lit(False))), F.filter("below", lambda x: x.LineId > F.col("closing")))
     prov = prov.select(
         "Logrecord", "prov", "last_line", "h.layout", "h.template",
         F.when(opened, _level_of(_json(js, JSON_LEVEL))).when(F.col("h.layout") == "twoline", _level_of(F.coalesce("h.second", F.when(~F.coalesce(F.col("h.multi"), F.lit(False)), F.col("next.own"))))).otherwise(F.col("h.lv")).alias("level"),
         F.when(opened, _json(js, JSON_COMPONENT)).otherwise(F.col("h.comp")).alias("component"),
         F.when(opened, _json(js, JSON_TIME)).otherwise(F.col("h.at")).alias("time_text"),
-        F.when(opened, _json(js, JSON_MESSAGE)).when((F.col("h.layout") == "twoline") & ~F.coalesce(F.col("h.multi"), F.lit(False)), F.col("next_msg.msg0")).otherwise(F.col("h.msg")).alias("message"),
-        (opened & _json(js, JSON_MESSAGE).isNull()).alias("no_message"), "n_rows",
+        F.when(opened, _json(js, JSON_MESSAGE)).when(F.lit(not bodies) & (F.col("h.layout") == "twoline") & ~F.coalesce(F.col("h.multi"), F.lit(False)), F.col("next_msg.msg0")).otherwise(F.col("h.msg")).alias("message"),
+        (opened & _json(js, JSON_MESSAGE).isNull()).alias("no_message"), "n_rows", "below", "opening", F.when(opened, after).otherwise(F.col("below")).alias("after"),
     )
     real = (F.col("layout") != "jsonopen") | (F.col("time_text").isNotNull() & ~F.col("no_message"))
-    marks = prov.select("Logrecord", F.col("prov").alias("LineId"), F.when(real, F.col("prov")).alias("m"), "last_line", "n_rows")
-    ends = _before(marks, "m", "first_line").where("first_line is not null").groupBy("Logrecord", "first_line").agg(F.max("last_line").alias("last_line"), F.sum("n_rows").alias("n_rows"))
-    kept = prov.where(real).select(F.col("Logrecord").alias("lr_"), "prov", "layout", "template", F.coalesce("level", F.lit("")).alias("level"), F.coalesce("component", F.lit("")).alias("component"), "time_text", F.regexp_replace("message", r"^\n?[A-Z]+: ", "").alias("stripped"), "message")
-    kept = kept.withColumn("message", F.when(F.col("layout") == "twoline", F.col("stripped")).otherwise(F.col("message")))
-    return ends.join(kept, F.col("first_line") == F.col("prov")).select("Logrecord", "first_line", "last_line", "time_text", _timestamp(F.col("time_text")).alias("ts"), "level", "component", "message", "n_rows", "layout", "template")
+    whole = F.concat(F.array(F.struct(F.col("prov").alias("LineId"), F.col("opening").alias("text"))), "below")  # what is no header belongs to the entry before, its opening row too
+    marks = prov.select("Logrecord", F.col("prov").alias("LineId"), F.when(real, F.col("prov")).alias("m"), "last_line", "n_rows", F.when(real, F.col("after")).otherwise(whole).alias("texts"))
+    ends = _before(marks, "m", "first_line").where("first_line is not null").groupBy("Logrecord", "first_line").agg(F.max("last_line").alias("last_line"), F.sum("n_rows").alias("n_rows"), F.array_sort(F.flatten(F.collect_list("texts"))).alias("texts"))
+    kept = prov.where(real).select(F.col("Logrecord").alias("lr_"), "prov", "layout", "template", F.coalesce("level", F.lit("")).alias("level"), F.coalesce("component", F.lit("")).alias("component"), "time_text", "message")
+    out = ends.join(kept, F.col("first_line") == F.col("prov"))
+    if bodies:
+        out = out.withColumn("message", F.when(F.size("texts") > 0, F.concat_ws("\n", "message", F.array_join(F.transform("texts", lambda x: x.text), "\n"))).otherwise(F.col("message")))
+    out = out.withColumn("message", F.when(F.col("layout") == "twoline", F.regexp_replace("message", r"^\n?[A-Z]+: ", "")).otherwise(F.col("message")))
+    return out.select("Logrecord", "first_line", "last_line", "time_text", _timestamp(F.col("time_text")).alias("ts"), "level", "component", "message", "n_rows", "layout", "template")
 
 
 def _timestamp(text: Column) -> Column:
@@ -350,4 +363,4 @@ def _timestamp(text: Column) -> Column:
 
 def found(log_lines: DataFrame) -> DataFrame:
     """Entries as (first_line, last_line, level, component)."""
-    return entries(log_lines).select("first_line", "last_line", "level", "component")
+    return entries(log_lines, bodies=False).select("first_line", "last_line", "level", "component")

@@ -76,3 +76,14 @@ def test_templates_have_constants_and_slots(spark):
     lines, leaves = logparse.templates(logparse.tokenise(df).select("LineId", "toks"))
     assert lines.count() == 32
     assert all("INFO - user" in r["template"] for r in leaves.collect())
+
+
+def test_message_has_the_text_of_all_rows(spark):
+    rows = [
+        raw(1, LINES[0][0]), raw(2, LINES[3][0], "b.log"), raw(3, "Traceback:"), raw(4, None), raw(5, "  at x\n  at y"), raw(6, "tail", "b.log"), raw(7, "{"), raw(8, '  "k": 1'), raw(9, "}"),
+        raw(10, "Jan 2, 2025 3:04:05 PM comp"), raw(11, "CRITICAL: m"), raw(12, "  at z"), raw(13, "Jan 2, 2025 3:04:05 PM comp\nCRITICAL: m\n  at z"), raw(14, "Jan 2, 2025 3:04:05 PM comp"), raw(15, "no level"),
+        raw(16, "{"), raw(17, ' "time": "2025-01-02T03:04:05Z",'), raw(18, ' "message": "m"'), raw(19, "}"), raw(20, "more"), raw(21, '{\n "ts": "2025-01-02T03:04:05Z",\n "msg": "m"\n}\nmore'),
+        (22, "a.log", "2025-01-02", "03:04:05", "INFO", "comp", "text", "x"), raw(23, "wrapped"), raw(24, "{"), raw(25, "open"),
+    ]
+    got = {i: m for i, m, _ in parse(spark, rows, whole=True)}
+    assert got == {1: 'slow\nTraceback:\n\n  at x\n  at y\n{\n  "k": 1\n}', 2: "bye\ntail", 10: "m\n  at z", 13: "m\n  at z", 14: "\nno level", 16: "m\nmore", 21: "m\nmore", 22: "text\nwrapped\n{\nopen"}
