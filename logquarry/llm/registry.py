@@ -35,6 +35,15 @@ e AS (SELECT sid, pos, label, coalesce('t:' || nullif(ev, ''), 'i:' || EventId)
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY sid, ev, label ORDER BY pos) AS isle FROM e)
 SELECT sid, min(pos) AS start_pos, count(*) AS n_events FROM g GROUP BY sid, ev, label, isle HAVING count(*) >= 2"""
 
+_RUN_TIMES = r"""WITH s AS (SELECT DISTINCT sid, event_ids, labels, idx FROM bgl_sessions),
+t AS (SELECT EventId, lower(regexp_replace(regexp_replace(EventTemplate, '<[^<>]*>', '', 'g'), '[^\p{L}]+', '', 'g')) AS ev FROM event_templates),
+p AS (SELECT sid, pos, event_ids[pos + 1] AS EventId, labels[pos + 1] AS label, idx[pos + 1] AS i FROM (SELECT *, unnest(range(len(event_ids))) AS pos FROM s)),
+e AS (SELECT sid, pos, label, i, coalesce('t:' || nullif(ev, ''), 'i:' || EventId) AS event FROM p LEFT JOIN t USING (EventId)),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY sid, event, label ORDER BY pos) AS isle FROM e),
+l AS (SELECT idx AS i, try_strptime(Time, '%Y-%m-%d-%H.%M.%S.%f') AS ts FROM bgl_log)
+SELECT sid, min(pos) AS start_pos, count(*) AS n_events, event, label, first(i ORDER BY pos) AS first_idx, last(i ORDER BY pos) AS last_idx, min(ts) AS started, max(ts) AS ended, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us
+FROM g LEFT JOIN l USING (i) GROUP BY sid, event, label, isle"""
+
 _BARE = r"nullif(regexp_replace(lower(upper({})), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\s]+', '', 'g'), '')"
 _FIELD = r"regexp_extract(raw, '(?is)\b{}\s*=\s*(.*?),?\n\s*(?:\w+\s*=|\}}\s*$)', 1)"
 
@@ -58,5 +67,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {titles_sql()}, c AS (SELECT citation_id, title AS s FROM citations WHERE title IS NOT NULL), cc AS (SELECT citation_id, s, {look('s')} AS look FROM c), ii AS (SELECT response_id, item_pos, title, {look('title')} AS look FROM it) SELECT DISTINCT citation_id, response_id, item_pos FROM cc JOIN ii USING (look) WHERE s <> title",
         "p1_canonical": f"SELECT citation_id, title, {look('title')} AS canonical FROM citations",
         "p5_found": _RUNS,
+        "p5_runs": _RUN_TIMES,
         "p6_found": _copies(),
     }

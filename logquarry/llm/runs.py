@@ -38,7 +38,7 @@ def _with_events(sessions: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def runs(sessions: DataFrame, templates: DataFrame) -> DataFrame:
-    """Every maximal run: (sid, start_pos, n_events, event, label, first_idx, last_idx), runs of one included.
+    """Every maximal run: (sid, start_pos, n_events, event, label, first_idx, last_idx, all_idx), runs of one included.
 
     A session delivered again with the same content counts once.  NULL arrays and
     empty ones give no rows; a NULL event or label equals only another NULL;
@@ -64,23 +64,24 @@ def runs(sessions: DataFrame, templates: DataFrame) -> DataFrame:
     return s.select(
         "sid", start.alias("start_pos"), F.col("z.n").alias("n_events"), F.get("events", start).alias("event"), F.get("labels", start).alias("label"),
         F.get("idx", start).alias("first_idx"), F.get("idx", F.col("z.e") - 1).alias("last_idx"),
+        F.slice("idx", start + 1, F.col("z.n")).alias("all_idx"),
     )
 
 
 def collapse(sessions: DataFrame, templates: DataFrame, log: DataFrame) -> DataFrame:
     """Runs with their times: adds started, ended and duration_us from the log's Time over idx.
 
-    The log is read for the first and last row of each run only; an idx that
-    the log lacks leaves NULL.  Late rows may make a duration negative in
-    order of arrival, so the span between the earlier and the later counts.
+    The times of all rows of a run count, from the earliest to the latest, as
+    a late row may stand anywhere in it.  An idx that the log lacks is left
+    out; a run without any row in the log has NULL times.
     """
     r = runs(sessions, templates)
     ts = F.try_to_timestamp("Time", F.lit("yyyy-MM-dd-HH.mm.ss.SSSSSS")).cast("timestamp_ntz")
     t = log.where("idx is not null").select(F.col("idx").alias("i"), ts.alias("ts")).dropDuplicates(["i"])
-    ends = r.select("sid", "start_pos", F.explode(F.array("first_idx", "last_idx")).alias("i")).where("i is not null").distinct()
-    span = ends.join(t, "i").groupBy("sid", "start_pos").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
+    rows = r.select("sid", "start_pos", F.explode("all_idx").alias("i")).where("i is not null").distinct()
+    span = rows.join(t, "i").groupBy("sid", "start_pos").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
     us = F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))
-    return r.join(span, ["sid", "start_pos"], "left").withColumn("duration_us", us)
+    return r.drop("all_idx").join(span, ["sid", "start_pos"], "left").withColumn("duration_us", us)
 
 
 def found(sessions: DataFrame, templates: DataFrame) -> DataFrame:

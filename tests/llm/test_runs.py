@@ -48,3 +48,10 @@ def test_durations(spark):
     got = {(r["sid"], r["start_pos"]): (r["n_events"], r["duration_us"], r["started"]) for r in runs.collapse(sessions(spark, rows), templates(spark), log).collect()}
     assert got[1, 0] == (2, 2_000_000, datetime(2025, 1, 1, 0, 0, 1, 500)) and got[1, 2][1] == 0
     assert got[2, 0][0] == 2 and got[2, 0][1] == 0
+
+
+def test_duration_spans_all_rows_of_a_run(spark):
+    log = spark.createDataFrame([(i, f"2025-01-01-00.00.{t:02d}.000000") for i, t in ((1, 20), (2, 5), (3, 21), (4, 30))], "idx long, Time string")
+    rows = [(1, ["E1"] * 3, [0] * 3, [1, 2, 3]), (2, ["E1"] * 4, [0] * 4, [77, 1, 4, 78]), (3, ["E1"] * 2, [0] * 2, [77, 78])]
+    got = {r["sid"]: (r["n_events"], r["first_idx"], r["last_idx"], r["duration_us"]) for r in runs.collapse(sessions(spark, rows), templates(spark), log).collect()}
+    assert got == {1: (3, 1, 3, 16_000_000), 2: (4, 77, 78, 10_000_000), 3: (2, 77, 78, None)}
