@@ -1,7 +1,7 @@
 """Online template miner: lines to templates by prefix walk, word set, then longest common subsequence.
 
-The miner is sequential, so it runs in bounded chunks of a file's lines and
-once more over the templates the chunks found, which are few.
+The miner is sequential, so a file of too many lines is mined in bounded chunks
+and once more over the templates the chunks found, which are few.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from logquarry.session import durable
 
 WILD = "<*>"
 EMPTY = "<empty>"
@@ -155,9 +158,10 @@ def parameters(text: str | None, template: str | None) -> list[str]:
 def mine(lines: DataFrame, group: str, order: str, text: str, tau: float = 0.5, masks: Iterable[str] = MASKS, chunk: int = CHUNK_LINES) -> DataFrame:
     """(order, template, event_id): the template of every line; event_id numbers templates by first line inside a group.
 
-    A chunk holds at most ``chunk`` consecutive order numbers of a group; the
-    templates of all chunks of a group are mined again, in order, to one set.
-    NULL and empty lines have the template '<empty>'.
+    A group of at most ``chunk`` lines is mined as a whole, by the sequential
+    rules, wherever its order numbers lie.  A larger one is cut into chunks of
+    so many lines, and the templates of its chunks are mined again, in order,
+    to one set.  NULL and empty lines have the template '<empty>'.
     """
     masks = tuple(masks)
 
@@ -166,7 +170,7 @@ def mine(lines: DataFrame, group: str, order: str, text: str, tau: float = 0.5,
         pdf = pdf.sort_values("o")
         at = [m.add(tokenise(x, masks)) for x in pdf["t"]]
         shown = [" ".join(t) for t in m.templates]
-        return pd.DataFrame({"g": pdf["g"], "o": pdf["o"], "first": [shown[n] if n >= 0 else EMPTY for n in at]})
+        return pd.DataFrame({"g": pdf["g"], "o": pdf["o"], "first": [shown[n] if n >= 0 else EMPTY for n in at], "n": at, "whole": pdf["whole"]})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         m = Miner(tau)
@@ -176,7 +180,15 @@ def mine(lines: DataFrame, group: str, order: str, text: str, tau: float = 0.5,
         return pd.DataFrame({"g": pdf["g"], "first": pdf["first"], "template": [shown[n] if n >= 0 else EMPTY for n in at], "n": at})
 
     d = lines.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(order).cast("bigint").alias("o"), F.col(text).alias("t"))
-    d = d.withColumn("c", F.floor(F.col("o") / chunk))
-    got = d.groupBy("g", "c").applyInPandas(local, "g string, o bigint, first string")
-    names = got.groupBy("g", "first").agg(F.min("o").alias("o")).groupBy("g").applyInPandas(join, "g string, first string, template string, n int")
-    return got.join(names, ["g", "first"]).select(F.col("o").alias(order), "template", F.concat(F.col("g"), F.lit(":"), (F.col("n") + 1).cast("string")).alias("event_id"))
+    # row numbers inside a group: counted in buckets of order numbers and moved up by the rows before
+    d = d.withColumn("b", F.floor(F.col("o") / chunk))
+    w = W.partitionBy("g").orderBy("b")
+    rows = d.groupBy("g", "b").agg(F.count("*").alias("k"))
+    rows = rows.select("g", "b", (F.sum("k").over(w) - F.col("k")).alias("before"), (F.sum("k").over(W.partitionBy("g")) <= chunk).alias("whole"))
+    d = d.withColumn("r", F.row_number().over(W.partitionBy("g", "b").orderBy("o"))).join(rows, ["g", "b"])
+    d = d.select("g", "o", "t", "whole", F.floor((F.col("before") + F.col("r") - 1) / chunk).alias("c"))
+    got = durable(d.groupBy("g", "c").applyInPandas(local, "g string, o bigint, first string, n int, whole boolean"))
+    cut = got.where("not whole").select("g", "o", "first")
+    names = cut.groupBy("g", "first").agg(F.min("o").alias("o")).groupBy("g").applyInPandas(join, "g string, first string, template string, n int")
+    out = got.where("whole").select("g", "o", F.col("first").alias("template"), "n").unionByName(cut.join(names, ["g", "first"]).select("g", "o", "template", "n"))
+    return out.select(F.col("o").alias(order), "template", F.concat(F.col("g"), F.lit(":"), (F.col("n") + 1).cast("string")).alias("event_id"))

@@ -188,6 +188,16 @@ def test_miner():
     assert templates.parameters(None, "a <*>") == [] and templates.parameters("b", "a <*>") == []
 
 
+def test_a_small_file_is_mined_whole_wherever_its_lines_lie(spark):
+    texts = ["open file a now", "close b", "open file c now", "x y z w", "open dir c now", "x q z w", "close b fast", "open dir d soon"]
+    m = templates.Miner()
+    at = [m.add(templates.tokenise(t)) for t in texts]
+    for start in (0, 5, 6, 8, 100):
+        df = spark.createDataFrame([("g", start + 2 * i, t) for i, t in enumerate(texts)] + [("h", start + 2 * i + 1, "x") for i in range(20)], "g string, LineId long, t string")
+        got = templates.mine(df, "g", "LineId", "t", chunk=8).where("event_id like 'g:%'").orderBy("LineId").collect()
+        assert [(r["template"], r["event_id"]) for r in got] == [(" ".join(m.templates[n]), f"g:{n + 1}") for n in at]
+
+
 def test_mining_lines(spark):
     rows = [(i, "f", f"lease {'xyz'[i % 3]}{i} lost now") for i in range(30)] + [(30, "f", ""), (31, None, None)]
     df = spark.createDataFrame(rows, "LineId long, g string, t string")
