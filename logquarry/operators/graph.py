@@ -72,7 +72,8 @@ def greedy_align(nodes: DataFrame, pairs: DataFrame, rounds: int = 1000) -> Data
     rule: an entity is settled once all its earlier neighbours are; it joins
     the first of them that is a representative, else it becomes one.  Each
     round settles every entity that can be, so rounds grow with the longest
-    chain of dependence, not with the entities.
+    chain of dependence, not with the entities.  A chain of more than
+    ``rounds`` is refused, not cut.
     """
     pairs = durable(pairs.select("a", "b"))
     open_ = durable(nodes.select("id").distinct())
@@ -85,8 +86,8 @@ def greedy_align(nodes: DataFrame, pairs: DataFrame, rounds: int = 1000) -> Data
         done = durable(done.unionByName(settled))
         open_ = durable(open_.join(settled.select("id"), "id", "left_anti"))
         if open_.isEmpty():
-            break
-    return done.select("rep", F.col("id").alias("member"))
+            return done.select("rep", F.col("id").alias("member"))
+    raise ValueError(f"entities are left open after {rounds} rounds")
 
 
 def triples(answers: DataFrame, text: str) -> DataFrame:

@@ -178,6 +178,14 @@ def test_temporal(spark):
     assert {r["id"] for r in temporal.last_n(df, ["ts", "id"], 2).collect()} == {3, 5}
 
 
+def test_a_chain_that_is_too_long_is_refused(spark):
+    ids = spark.range(4)
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")
+    assert {r["member"]: r["rep"] for r in graph.greedy_align(ids, pairs, rounds=4).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+    with pytest.raises(ValueError):
+        graph.greedy_align(ids, pairs, rounds=3)
+
+
 def test_miner():
     m = templates.Miner(0.5)
     assert m.add("a b c d".split()) == 0 and m.add("a b x d".split()) == 0
