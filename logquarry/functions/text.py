@@ -101,23 +101,29 @@ def extract_year(c: Column) -> Column:
     return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))).cast("int")
 
 
-def extract_surnames(c: Column) -> Column:
-    """Surnames before the year (in the first 200 characters without one): up to ten capitalised words of three letters and more."""
+def extract_surnames(c: Column, chars: int | None = 200, most: int | None = 10) -> Column:
+    """Surnames before the year: capitalised words of three letters and more.
+
+    Without a year the first ``chars`` characters are read; the first ``most``
+    words are kept; None is no bound.
+    """
     year = extract_year(c).cast("string")
     at = F.coalesce(F.instr(c, F.coalesce(year, F.lit("\u0000"))), F.lit(0))
-    chunk = F.when(at > 1, F.substring(c, F.lit(1), at - 1)).otherwise(F.substring(c, 1, 200))
+    chunk = F.when(at > 1, F.substring(c, F.lit(1), at - 1)).otherwise(c if chars is None else F.substring(c, 1, chars))
     toks = F.split(F.translate(chunk, ",&", "  "), " +")
     keep = lambda x: x.rlike(r"^[A-Z][a-zA-Z'-]{2,}$") & ~x.isin(*NO_SURNAMES)
-    return F.slice(F.filter(toks, keep), 1, 10)
+    names = F.filter(toks, keep)
+    return names if most is None else F.slice(names, 1, most)
 
 
-def extract_title(c: Column) -> Column:
-    """Text after the year up to the first full stop before a capital, without quotes, 500 characters at most; NULL without a year."""
+def extract_title(c: Column, chars: int | None = 500) -> Column:
+    """Text after the year up to the first full stop before a capital, without quotes, ``chars`` characters at most (None is no bound); NULL without a year."""
     year = extract_year(c).cast("string")
     after = F.substring(c, F.instr(c, year) + 4, F.length(c))
     after = F.regexp_replace(F.regexp_replace(after, r"^[a-z](?=[).,:;\s])", ""), r"^[).,:;]*\s*", "")
     title = F.regexp_extract(after, r"(?s)^(.*?)(?:\. [A-Z].*)?$", 1)
-    return F.when(year.isNotNull(), F.substring(F.regexp_replace(F.regexp_replace(title, "^[\"'`{]+", ""), "[\"'`}]+$", ""), 1, 500))
+    title = F.regexp_replace(F.regexp_replace(title, "^[\"'`{]+", ""), "[\"'`}]+$", "")
+    return F.when(year.isNotNull(), title if chars is None else F.substring(title, 1, chars))
 
 
 def doi_valid(c: Column) -> Column:

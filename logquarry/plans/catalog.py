@@ -458,9 +458,9 @@ def citation_fields(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def citation_parsed(s: SparkSession, d: str) -> DataFrame:
-    """All fields of raw citations by the text rules."""
+    """All fields of raw citations by the text rules, over the whole texts."""
     r = T.squeeze(F.col("raw"))
-    return load(s, d, "citations").select("citation_id", T.extract_surnames(r).alias("authors"), T.extract_year(r).alias("year"), T.extract_title(r).alias("title"), T.extract_doi(r).alias("doi"), T.extract_nber(r).alias("nber_number"), T.extract_arxiv(r).alias("arxiv_id"))
+    return load(s, d, "citations").select("citation_id", T.extract_surnames(r, None, None).alias("authors"), T.extract_year(r).alias("year"), T.extract_title(r, None).alias("title"), T.extract_doi(r).alias("doi"), T.extract_nber(r).alias("nber_number"), T.extract_arxiv(r).alias("arxiv_id"))
 
 
 @query(r"SELECT citation_id, coalesce(regexp_full_match(doi, '10\.[0-9]+/[A-Za-z0-9._:;()/-]+') AND length(doi) <= 500 AND NOT contains(doi, '..'), false) AS valid FROM citations")

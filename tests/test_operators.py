@@ -186,6 +186,13 @@ def test_a_chain_that_is_too_long_is_refused(spark):
         graph.greedy_align(ids, pairs, rounds=3)
 
 
+def test_whole_citations_are_read_without_caps(spark):
+    many = ", ".join(f"Name{chr(97 + i)}" for i in range(15))
+    df = spark.createDataFrame([(f"{many} (2001). {'word ' * 150}end. Journal",), ("x " * 120 + "Late",)], "raw string")
+    a, b = df.select(T.extract_surnames(F.col("raw"), None, None), T.extract_title(F.col("raw"), None)).collect()
+    assert len(a[0]) == 15 and a[1] == "word " * 150 + "end" and b[0] == ["Late"] and b[1] is None
+
+
 def test_miner():
     m = templates.Miner(0.5)
     assert m.add("a b c d".split()) == 0 and m.add("a b x d".split()) == 0
