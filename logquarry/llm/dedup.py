@@ -1,8 +1,9 @@
 """Problem 6: records that differ in formatting only, collapsed with their counts.
 
-Title and DOI are brought to a canonical form - characters composed, case
-folded, blanks, punctuation and field order gone - hashed to 128 bits, and
-counted with map-side combining.  Each group also carries the least and the
+Title and DOI are brought to a canonical form - case folded, blanks,
+punctuation and field order gone; composed and decomposed characters stay
+different, as in the SQL - hashed to 128 bits, and counted with map-side
+combining.  Each group also carries the least and the
 greatest canonical form, so two forms under one hash would be seen and split.
 """
 
