@@ -59,10 +59,11 @@ def book_sibling(df: DataFrame) -> DataFrame:
     return df.withColumn("sibling", F.when(F.col("top.type") == "book-chapter", F.get(fits, F.lit(0))))
 
 
-def best_by_tokens(left: DataFrame, right: DataFrame, k: int = 5, threshold: float = 0.70) -> DataFrame:
+def best_by_tokens(left: DataFrame, right: DataFrame, k: int = 5, threshold: float = 0.70, itself: bool = True) -> DataFrame:
     """(id, other, rank, f1): the k best right titles of each left title with a word F1 of ``threshold`` or more, exactly.
 
-    left(id, title), right(other, title).  Prefix filter: words are ordered by
+    left(id, title), right(other, title); without ``itself`` a row with
+    other = id takes none of the places.  Prefix filter: words are ordered by
     rarity; sets with F1 >= t share t / (2 - t) of each one's words, so such a
     pair meets in the first words of both, those that could be missing from
     the shared rest.  The index holds these only, and the rarest words open
@@ -79,7 +80,7 @@ def best_by_tokens(left: DataFrame, right: DataFrame, k: int = 5, threshold: flo
         keep = (F.col("n") - F.ceil(share * F.col("n") - F.lit(1e-9)) + 1).cast("int")
         return z.select(key, F.explode(F.transform(F.slice("z", F.lit(1), keep), lambda x: x.word)).alias("word"))
 
-    pairs = prefix(lw, "id").join(prefix(rw, "other"), "word").select("id", "other").distinct()
+    pairs = prefix(lw, "id").join(prefix(rw, "other"), "word").where(F.lit(itself) | (F.col("id") != F.col("other"))).select("id", "other").distinct()
     both = pairs.join(lw.withColumnRenamed("w", "a"), "id").join(rw.withColumnRenamed("w", "b"), "other")
     f1 = 2 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))
     both = both.withColumn("f1", F.round(f1, 6)).where(f1 >= threshold - 1e-12)

@@ -442,9 +442,9 @@ def works_containment_advisory(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def title_search(s: SparkSession, d: str) -> DataFrame:
-    """The five citations that match each title whose citation_id is divisible by 20 best, at a word F1 of 0.70 or more."""
+    """The five other citations that match each title whose citation_id is divisible by 20 best, at a word F1 of 0.70 or more."""
     t = load(s, d, "citations").where("title is not null")
-    return match.best_by_tokens(t.where("citation_id % 20 = 0").select(F.col("citation_id").alias("id"), "title"), t.select(F.col("citation_id").alias("other"), "title"))
+    return match.best_by_tokens(t.where("citation_id % 20 = 0").select(F.col("citation_id").alias("id"), "title"), t.select(F.col("citation_id").alias("other"), "title"), itself=False)
 
 
 @query(r"""SELECT citation_id, nullif(regexp_replace(regexp_extract(raw, '10\.[0-9]+/[A-Za-z0-9._:;()/-]+'), '[.,;:)\]]+$', ''), '') AS doi,

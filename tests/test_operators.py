@@ -193,6 +193,12 @@ def test_whole_citations_are_read_without_caps(spark):
     assert len(a[0]) == 15 and a[1] == "word " * 150 + "end" and b[0] == ["Late"] and b[1] is None
 
 
+def test_a_row_takes_no_place_in_its_own_search(spark):
+    t = spark.createDataFrame([(i, "deep graph mining") for i in range(7)], "id long, title string")
+    got = match.best_by_tokens(t.where("id = 2"), t.withColumnRenamed("id", "other"), itself=False)
+    assert [(r["other"], r["rank"]) for r in got.orderBy("rank").collect()] == [(0, 1), (1, 2), (3, 3), (4, 4), (5, 5)]
+
+
 def test_miner():
     m = templates.Miner(0.5)
     assert m.add("a b c d".split()) == 0 and m.add("a b x d".split()) == 0
