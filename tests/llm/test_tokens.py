@@ -26,8 +26,12 @@ def _check(text, limit, overlap):
     assert got[0][0] == 0 and got[-1][2] == len(text)
     assert "".join(text[c:e] for _, c, e, _ in got) == text
     for (ps, _, pe, _), (s, c, _, _) in zip(got, got[1:]):
-        assert pe == c and (overlap <= len(T.encode(text[s:c])) + 3 or s == ps)  # a piece may be shorter than the overlap
-    assert all(n <= limit and len(T.encode(text[s:e])) <= limit for s, _, e, n in got)
+        assert pe == c
+        if len(T.encode(text[ps:pe])) > overlap + 3:  # a piece that is shorter than the overlap is repeated whole
+            assert overlap <= len(T.encode(text[s:c])) + 3
+        else:
+            assert overlap <= len(T.encode(text[s:c])) + 3 or s == ps
+    assert all(n == len(T.encode(text[s:e])) and n <= limit for s, _, e, n in got)
     return got
 
 
@@ -37,6 +41,17 @@ def test_pieces_rebuild_the_text(text, times):
     _check(text * times, 64, 8)
 
 
+@settings(max_examples=150, deadline=None)
+@given(PIECES.filter(bool), st.integers(1, 60), st.integers(32, 2048), st.integers(0, 16))
+def test_pieces_under_any_limit(text, times, limit, share):
+    _check(text * times, limit, limit * share // 64)
+
+
+def test_limits_without_room_raise():
+    with pytest.raises(ValueError):
+        split.split_text("word " * 100, T, 20, 16)
+
+
 def test_pieces_of_hard_texts():
     for text in ("a" * 30_000, "中" * 9_000, "word " * 9_000, "\n" * 9_000, "x" * 10 + " " * 20_000, "🙂" * 5_000, "line one.\n" * 4_000):
         assert len(_check(text, split.LIMIT, split.OVERLAP)) > 1 or T.count(text) <= split.LIMIT
