@@ -15,36 +15,68 @@ from pyspark.sql import Window as W
 NON_ASCII = "<NASCII>"
 
 
-def format_pattern(fmt: str) -> tuple[list[str], str]:
-    """Field names and anchored pattern of a format such as ``<Date> <Time> \\[<Addr>\\] <Content>``."""
-    parts = re.split(r"(<[^<>]+>)", fmt)
-    names = [p[1:-1] for p in parts[1::2]]
-    lits = [re.sub(r" +", r"\\s+", p) for p in parts[::2]]
-    pattern = "^" + "".join(a + ("(.*?)" if i < len(names) else "") for i, a in enumerate(lits)) + "$"
-    return names, pattern
+def format_fields(fmt: str) -> tuple[list[str], str]:
+    """Fields of a format such as ``<Date> <Time> \\[<Addr>\\] <Content>`` and the pattern of a whole line.
 
-
-def scan_log(lines: DataFrame, fmt: str, text: str = "value") -> DataFrame:
+    The format is read from left to right: ``<Name>`` is a field of any text,
+    the shortest that fits; a run of blanks is any blank space; all else is a
+    regular expression as it stands.
+    """
+    fields, pattern, rest = [], "", fmt
+    while rest:
+        if (name := re.match(r"<(\w+)>", rest)) is not None:
+            fields.append(name[1])
+            pattern += "(.*?)"
+            rest = rest[name.end() :]
+        elif rest[0] == " ":
+            pattern += r"\s+"
+            rest = rest.lstrip(" ")
+        else:
+            pattern += rest[0]
+            rest = rest[1:]
+    return fields, f"^{pattern}$"
+
+
+def scan_log(lines: DataFrame, fmt: str, text: str = "value", line_id: str | None = None) -> DataFrame:
     """Lines that fit a format, one column a field; others are dropped, as are blank ones.
 
     Runs of characters outside ASCII become '<NASCII>'.  Other columns stay.
+    ``line_id`` names a new column that numbers the fitting lines of each file
+    from 1; the lines then need file and line_no, as ``number_lines`` gives.
     """
-    names, pattern = format_pattern(fmt)
+    fields, pattern = format_fields(fmt)
     v = F.regexp_replace(F.trim(text), r"[^\x00-\x7F]+", NON_ASCII)
     d = lines.withColumn(text, v).where(F.col(text).rlike(pattern))
-    for i, n in enumerate(names):
-        d = d.withColumn(n, F.regexp_extract(text, pattern, i + 1))
-    return d.drop(text)
+    groups = "\u0001".join(f"${i + 1}" for i in range(len(fields)))  # one match gives all fields; the mark is no ASCII text of a log
+    d = d.withColumn("_f", F.split(F.regexp_replace(text, pattern, groups), "\u0001"))
+    d = d.withColumns({n: F.get("_f", F.lit(i)) for i, n in enumerate(fields)}).drop("_f", *([] if text in fields else [text]))
+    if line_id:
+        d = _number(d, ["file", F.floor(F.col("line_no") / BLOCK_LINES).alias("_block")], "line_no", line_id)
+    return d
+
+
+#: Lines of a file that are numbered in one window.
+BLOCK_LINES = 1_000_000
+
+
+def _number(d: DataFrame, block: list, order: str, out: str) -> DataFrame:
+    """Numbers rows from 1 inside each file: block by block, each moved up by the rows of the file's blocks before it."""
+    d = d.select("*", block[1])
+    counts = d.groupBy("file", "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("_own", F.row_number().over(W.partitionBy("file", "_block").orderBy(order)))
+    d = d.join(counts.select("file", "_block", before.alias("_before")), ["file", "_block"])
+    return d.withColumn(out, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_own", "_before", "_block")
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): lines of text files numbered from 1 inside each file.
 
-    A file is read whole by one task only to number its lines; files are many.
+    A large file is read by many tasks: the lines of each split are numbered
+    as they are read and moved up by the lines of the splits before.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("l"))
-    d = files.select("file", F.posexplode("l").alias("p", "value"))
-    return d.select("file", (F.col("p") + 1).cast("bigint").alias("line_no"), "value")
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"), "value")
+    return _number(d, ["file", F.col("_start").alias("_block")], "_row", "line_no").select("file", "line_no", "value")
 
 
 def scan_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -109,8 +141,3 @@ def load_config(path: str, overrides: dict | None = None) -> dict:
             at = at.setdefault(u, {})
         at[last] = v
     return conf
-
-
-def first_of(d: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The first row of each group in an order."""
-    return d.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")

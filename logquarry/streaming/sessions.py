@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from logquarry.operators.templates import Miner, tokenise
+from logquarry.operators.templates import Miner, masked
 from logquarry.session import shared_dir
 
 
@@ -54,17 +54,14 @@ def mine_stream(stream: DataFrame, group: str, order: str, text: str, tau: float
     """(group, order, template) as lines arrive; the state of a group is its templates."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        m = Miner(tau)
-        for t in state.get[0] if state.exists else []:
-            m.templates.append(t.split(" "))
-            m._insert(len(m.templates) - 1)
+        m = Miner(tau, [t.split(" ") for t in (state.get[0] if state.exists else [])])
         for b in batches:
             b = b.sort_values("o")
-            at = [m.add(tokenise(x)) for x in b["t"]]
+            at = [m.add(x.split()) for x in b["t"]]
             yield pd.DataFrame({"g": b["g"], "o": b["o"], "template": [" ".join(m.templates[n]) if n >= 0 else "<empty>" for n in at]})
         state.update(([" ".join(t) for t in m.templates],))
 
-    d = stream.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(order).cast("bigint").alias("o"), F.col(text).alias("t"))
+    d = stream.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(order).cast("bigint").alias("o"), masked(F.col(text)).alias("t"))
     return d.groupBy("g").applyInPandasWithState(step, "g string, o bigint, template string", "templates array<string>", "append", GroupStateTimeout.NoTimeout)
 
 

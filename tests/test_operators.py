@@ -204,15 +204,44 @@ def test_miner():
     assert m.add("a b c d".split()) == 0 and m.add("a b x d".split()) == 0
     assert m.templates[0] == ["a", "b", "<*>", "d"]
     assert m.add("q r s".split()) == 1 and m.add([]) == -1
-    assert templates.common(list("abcbdab"), list("bdcaba")) == list("bcba")
+    a = templates.Alignment(list("abcbdab"), list("bdcaba"))
+    assert a.length == 4 and a.words() == list("bcba") and templates.Alignment(["a"], []).words() == []
+    assert templates.widen(list("abca"), ["a"]) == ["a", "<*>"] and templates.widen(list("xaby"), ["a", "y"]) == ["<*>", "a", "<*>", "y"] and templates.widen(["a"], []) == []
     assert templates.parameters("worker 12 up in 3 s", "worker <*> up in <*> s") == ["12", "3"]
     assert templates.parameters(None, "a <*>") == [] and templates.parameters("b", "a <*>") == []
+    assert templates.parameters("x a  b a", "<*> a") == ["x a b"] and templates.parameters("a b", "a b") == []
+
+
+def test_miner_numbers_only_grow_and_fit(spark):
+    """Against plain readings of the rules: subsequence lengths by dynamic programming, the set rule by a scan."""
+    rnd = random.Random(3)
+
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    m = templates.Miner()
+    for _ in range(400):
+        words = [rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))]
+        for t in m.templates[:20]:
+            a = templates.Alignment(words, t)
+            kept, rest, place = a.words(), iter(words), iter(t)
+            assert a.length == plain(words, t) == len(kept) and all(w in rest for w in kept) and all(w in place for w in kept)
+        want = next((n for n, t in enumerate(m.templates) if len(t) >= 0.5 * len(words) and {*words, "<*>"}.issuperset(t)), None)
+        assert m._by_words(words) == want
+        n = m.add(words)
+        assert all({*m.templates[n]} <= m.having.keys() and n in m.having[w] for w in m.templates[n])
+    df = spark.createDataFrame([("worker 12 up", "worker <*> up"), (None, "x"), ("a", None)], "t string, p string")
+    assert [r["parameters"] for r in templates.with_parameters(df, "t", "p").collect()] == [["12"], [], []]
 
 
 def test_a_small_file_is_mined_whole_wherever_its_lines_lie(spark):
     texts = ["open file a now", "close b", "open file c now", "x y z w", "open dir c now", "x q z w", "close b fast", "open dir d soon"]
     m = templates.Miner()
-    at = [m.add(templates.tokenise(t)) for t in texts]
+    at = [m.add(t.split()) for t in texts]
     for start in (0, 5, 6, 8, 100):
         df = spark.createDataFrame([("g", start + 2 * i, t) for i, t in enumerate(texts)] + [("h", start + 2 * i + 1, "x") for i in range(20)], "g string, LineId long, t string")
         got = templates.mine(df, "g", "LineId", "t", chunk=8).where("event_id like 'g:%'").orderBy("LineId").collect()

@@ -24,6 +24,18 @@ def test_log_formats(spark, tmp_path):
     df = spark.createDataFrame([("x.log 2025-01-01 [a1] hello wörld",), ("no match",), ("",)], "value string")
     r = logs.scan_log(df, r"<File> <Date> \[<Addr>\] <Content>").collect()
     assert [tuple(x) for x in r] == [("x.log", "2025-01-01", "a1", "hello w<NASCII>rld")]
+    assert logs.format_fields(r"<A>  \[<B>\]") == (["A", "B"], r"^(.*?)\s+\[(.*?)\]$")
+    big = [f"k{i} v{i}" if i % 3 else "-" for i in range(3000)]
+    (tmp_path / "big.txt").write_text("\n".join(big) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = logs.number_lines(spark, str(tmp_path / "big.txt"))
+        assert [r["value"] for r in got.orderBy("line_no").collect()] == big
+        ids = logs.scan_log(got, "<K> <V>", line_id="LineId").orderBy("LineId").select("LineId", "K", "V", "line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    kept = [i for i in range(3000) if i % 3]
+    assert [tuple(r) for r in ids] == [(n + 1, f"k{i}", f"v{i}", i + 1) for n, i in enumerate(kept)]
     p = tmp_path / "s.txt"
     p.write_text("5 5 22 \n\n7\n")
     assert [tuple(x) for x in logs.scan_sessions(spark, str(p)).collect()] == [(1, [5, 5, 22]), (3, [7])]
