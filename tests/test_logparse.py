@@ -72,10 +72,60 @@ def test_carry_over_chunks(spark):
 
 
 def test_templates_have_constants_and_slots(spark):
-    df = spark.createDataFrame([raw(i, f"2025-01-02 03:04:05,678 - c{'abcdefgh'[i % 8]} - INFO - user {w} left") for i, w in enumerate(["ann", "bob", "cy", "di"] * 8)], SCHEMA)
-    lines, leaves = logparse.templates(logparse.tokenise(df).select("LineId", "toks"))
-    assert lines.count() == 32
-    assert all("INFO - user" in r["template"] for r in leaves.collect())
+    rows = [(f"2025-01-02 03:04:05,678 - c{'abcdefgh'[i % 8]} - INFO - user {w} left",) for i, w in enumerate(["ann", "bob", "cy", "di"] * 8)]
+    shapes, words = logparse.templates(spark.createDataFrame(rows, "first string"))
+    got = shapes.collect()
+    assert sum(r["rows"] for r in got) == 32 and all("INFO <*> user" in r["template"] for r in got)
+    assert logparse.layouts(shapes, words)["DT"] == {"hththt": {"level": 3, "comp": 1, "end": 5}}
+
+
+def test_leaves_of_the_partitioning():
+    plain = [("a", "x", c, w, v) for c in "pqstu" for w, v in (("one", "two"), ("six", "ten"), ("red", "sea"), ("old", "man"))]
+    leaves = logparse.split_shapes(plain)
+    assert sorted(i for leaf in leaves for i in leaf) == list(range(20))
+    assert {" ".join(logparse.template_of([plain[i] for i in leaf])[3:]) for leaf in leaves} == {"one two", "six ten", "red sea", "old man"}
+    assert len(logparse.split_shapes([("a",)])) == 1
+
+
+MESSAGES = ["pool low on disk", "lease lost by peer", "index rebuilt after crash", "ERROR flag set again", "quota check passed late", "volume attached to node"]
+
+
+def other_layouts():
+    """Three layouts that no rule names: (text, level, component); messages come round in another step than components."""
+    comps = ["disk.pool", "lease-mgr", "netio", "store", "core.Audit"]
+    out = []
+    for i in range(60):
+        m, c, lv = MESSAGES[i % 6] + f" {i}", comps[i // 6 % 5], ["INFO", "WARN", "ERROR"][i % 3]
+        at = f"10:{i % 60:02d}:{(i * 7) % 60:02d}"
+        out += [
+            (f"2026/01/05 {at} {lv} {c}: {m}", lv, c),
+            (f"{at}.{i:03d} [main-{i % 4}] {lv} {c} - {m}", lv, c),
+            (f"2026-01-05T{at}Z {lv} {c} {m}", lv, c),
+            (f"[05/Jan/2026:{at}] {lv} {m}", lv, ""),  # no component: the words after the level are message
+        ]
+    return out
+
+
+def test_layouts_that_no_rule_names(spark):
+    lines = other_layouts()
+    got = parse(spark, [raw(i, t) for i, (t, _, _) in enumerate(lines)])
+    assert got == [(i, i, lv, c) for i, (_, lv, c) in enumerate(lines)]
+
+
+def test_rows_rest_on_the_partitioning(spark, monkeypatch):
+    """Without it, values after a message's first word look like other words, and that word like a component."""
+    hosts = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    lines = [f"2026/01/05 10:00:{i:02d} INFO {a} {hosts[i % 6]} {b}" for i in range(24) for a, b in [(("lease", "was lost"), ("volume", "was attached"), ("worker", "has restarted"))[i % 3]]]
+    rows = [raw(i, t) for i, t in enumerate(lines)]
+    with_it = parse(spark, rows)
+    assert with_it == [(i, i, "INFO", "") for i in range(24)]
+    df = spark.createDataFrame([(t,) for t in lines], "first string")
+    shapes, words = logparse.templates(df)
+    each = words.select("opening", "prefix", "word", "follower", "rows")
+    assert {r["follower"] for r in each.where("word in ('lease', 'volume', 'worker')").collect()} == {"<*>"}
+    # the same evidence from lines that are no leaves: every shape its own template
+    spec = logparse.layouts(shapes, spark.createDataFrame([("DT", "t", a, h, 4) for a in ("lease", "volume", "worker") for h in hosts[:2]], words.schema.simpleString()[7:-1].replace(":", " ")))
+    assert logparse.read_header(lines[0], lines[0], spec).component == "lease"
 
 
 def test_message_has_the_text_of_all_rows(spark):
