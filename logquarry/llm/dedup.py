@@ -1,9 +1,8 @@
 """Problem 6: records that differ in formatting only, collapsed with their counts.
 
-Title and DOI are brought to a canonical form - case folded, blanks,
-punctuation and field order gone; composed and decomposed characters stay
-different, as in the SQL - hashed to 128 bits, and counted with map-side
-combining.  Each group also carries the least and the
+Title and DOI are brought to a canonical form - characters composed and of one
+width, case folded, blanks, punctuation and field order gone - hashed to 128
+bits, and counted with map-side combining.  Each group also carries the least and the
 greatest canonical form, so two forms under one hash would be seen and split.
 """
 
@@ -13,6 +12,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +46,26 @@ def _raw_fields(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["title", "doi"])
 
 
+#: Full-width forms and the characters they are forms of: the same row of the code table, further up.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+
+
+@F.arrow_udf(T.StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(texts, form="NFC")
+
+
+def one_spelling(col: Column) -> Column:
+    """Characters in one spelling: composed (NFC) and of ordinary width.  Only texts outside ASCII go to Arrow."""
+    narrow = F.translate(col, _WIDE, _NARROW)
+    return F.coalesce(_composed(F.when(narrow.rlike(r"[^\x00-\x7F]"), narrow)), narrow)
+
+
 def bare(col: Column) -> Column:
-    """Canonical text: case folded, blanks, invisible characters, punctuation and symbols left out; '' becomes NULL."""
-    folded = F.lower(F.upper(col))
+    """Canonical text: one spelling of characters, case folded, blanks, invisible characters, punctuation and symbols left out; '' becomes NULL."""
+    folded = F.lower(F.upper(F.regexp_replace(one_spelling(col), "[ßẞ]", "ss")))
+    folded = F.translate(folded, "ς", "σ")  # a final sigma depends on what follows it
     return F.nullif(F.regexp_replace(folded, r"[\p{P}\p{S}\p{Z}\p{C}\s]+", ""), F.lit(""))
 
 

@@ -44,7 +44,9 @@ l AS (SELECT idx AS i, try_strptime(Time, '%Y-%m-%d-%H.%M.%S.%f') AS ts FROM bgl
 SELECT sid, min(pos) AS start_pos, count(*) AS n_events, event, label, first(i ORDER BY pos) AS first_idx, last(i ORDER BY pos) AS last_idx, min(ts) AS started, max(ts) AS ended, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us
 FROM g LEFT JOIN l USING (i) GROUP BY sid, event, label, isle"""
 
-_BARE = r"nullif(regexp_replace(lower(upper({})), '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\s]+', '', 'g'), '')"
+_WIDE = "＂＃＄％＆＇（）＊＋，－．／０１２３４５６７８９：；＜＝＞？＠ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ［＼］＾＿｀ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｜｝～！"
+_ASCII = "\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{{|}}~!"
+_BARE = rf"nullif(regexp_replace(replace(lower(upper(regexp_replace(nfc_normalize(translate({{}}, '{_WIDE}', '{_ASCII}')), 'ß|ẞ', 'ss', 'g'))), 'ς', 'σ'), '[\p{{{{P}}}}\p{{{{S}}}}\p{{{{Z}}}}\p{{{{C}}}}\s]+', '', 'g'), '')"
 _FIELD = r"regexp_extract(raw, '(?is)\b{}\s*=\s*(.*?),?\n\s*(?:\w+\s*=|\}}\s*$)', 1)"
 
 

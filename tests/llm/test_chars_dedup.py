@@ -58,6 +58,13 @@ def test_copies(spark):
     assert copies(spark, []) == []
 
 
+def test_copies_in_other_characters(spark):
+    """Composed, decomposed and full-width spellings are one record; letters that only look alike are not."""
+    rows = [(1, "", "Café systems ABC", "10.1/x"), (2, "", "Cafe\u0301 systems ABC", "10.1/x"), (3, "", "Ｃａｆé　ｓｙｓｔｅｍｓ　ＡＢＣ", "１０．１／ｘ"), (4, "", "Cafe systems ABC", "10.1/x"), (5, "", "Саfé systems ABC", "10.1/x")]
+    rows += [(6, "", "Straße ΟΔΟΣ A", None), (7, "", "STRASSE οδος-a", None), (8, '{"title": "Stra\\u00dfe ο\u0301δος", "doi": ""}', None, None), (9, "", "strasse όΔΟΣ", "")]
+    assert copies(spark, rows) == [(1, 2), (1, 3), (6, 7), (8, 9)]
+
+
 def test_hot_group(spark):
     rows = [(i, "", "Hot title" if i % 3 else f"t{i}", "10.1/x") for i in range(3000)]
     got = copies(spark, rows)
