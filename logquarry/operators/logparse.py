@@ -115,21 +115,18 @@ def _tokens(line: str) -> tuple[str, list[str], str]:
     The tokens of the opening come first; of a barred line each further token is one cell.
     """
     bar = line.find("|", 0, 64)
-    head = line if bar < 0 else line[:bar]
-    toks = head.split()
-    kinds = "".join([_kinds[t.translate(_ZERO)] for t in toks])
+    zeros = line.translate(_ZERO)
+    if bar >= 0:
+        toks = line[:bar].split()
+        kinds = "".join([_kinds[t] for t in zeros[:bar].split()])
+        m = _OPENING.fullmatch(kinds)
+        if m is not None:  # bars after the time, not in the text
+            cells = [c.strip() for c in line[bar + 1 :].split("|")]
+            return kinds + "|", toks + cells, kinds + "".join(["L" if c.upper() in LEVELS else _kinds[c.translate(_ZERO)] for c in cells])
+    toks = line.split()
+    kinds = "".join([_kinds[t] for t in zeros.split()])
     m = _OPENING.match(kinds)
-    if bar >= 0 and not (m and m.end() == len(toks)):  # a bar in the text, not after the time
-        toks = line.split()
-        kinds = "".join([_kinds[t.translate(_ZERO)] for t in toks])
-        m = _OPENING.match(kinds)
-        bar = -1
-    if m is None or (bar < 0 and m[0].endswith("E")):
-        return "", toks, kinds
-    if bar < 0:
-        return m[0], toks, kinds
-    cells = [c.strip() for c in line[bar + 1 :].split("|")]
-    return m[0] + "|", toks + cells, m[0] + "".join(["L" if c.upper() in LEVELS else _kinds[c.translate(_ZERO)] for c in cells])
+    return ("" if m is None or m[0].endswith("E") else m[0]), toks, kinds
 
 
 def _mask(tok: str, kind: str) -> str:
@@ -393,12 +390,12 @@ def _object(text: str) -> dict | None:
     return o if isinstance(o, dict) else None
 
 
-def read_header(first: str, content: str, specs: dict[str, dict[str, dict]], shapes: bool = False) -> _Header | None:
-    """Header of a line by the slots of the templates that open like it; None if it has none."""
+def read_header(first: str, content: str, specs: dict[str, dict[str, dict]], bodies: bool = True) -> _Header | None:
+    """Header of a line by the slots of the templates that open like it; None if it has none.  Without ``bodies`` no time, message and shape."""
     if first[:1] == "{":
         if first == "{":
             m = _OBJECT.match(content)
-            got = _named(_object(m[1]) or {}, "jsonopen") if m else None
+            got = _named(_object(m[1]) or {}, "jsonlines") if m else None
             return got or _Header("jsonopen", None, None, None, None)
         return _named(_object(first) or {}, "json") if first.rstrip().endswith("}") else None
     opening, toks, kinds = _tokens(first)
@@ -432,6 +429,9 @@ def read_header(first: str, content: str, specs: dict[str, dict[str, dict]], sha
     if level is None and component is None:
         return None
     end = k + slots["end"]
+    layout = opening if end < len(toks) else f"{opening}$"
+    if not bodies:
+        return _Header(layout, level, component, None, None)
     time = [_BARE.sub("", t) for t, x in zip(toks[:k], kinds[:k]) if x not in "PQLlhw"]
     if kinds[0] in "Qg":
         time.insert(0, re.sub(r"^<\d+>|^[A-Z](?=\d)", "", toks[0])) if kinds[0] == "Q" else time.__setitem__(0, toks[0][1:])
@@ -444,19 +444,18 @@ def read_header(first: str, content: str, specs: dict[str, dict[str, dict]], sha
         ends = [m.end() for _, m in zip(range(end), _TOKEN.finditer(first))]
         message = first[ends[-1] :] if ends else first
         message = message[1:] if message[:1] == " " else message
-    shape = None
-    if shapes:
-        shape = "\u0001".join([*(f"<{x}>" for x in kinds[:k]), *map(_mask, toks[k:], kinds[k:])])
-    return _Header(opening if end < len(toks) else f"{opening}$", level, component, " ".join(time), message, shape)
+    shape = "\u0001".join([*(f"<{x}>" for x in kinds[:k]), *map(_mask, toks[k:], kinds[k:])])
+    return _Header(layout, level, component, " ".join(time), message, shape)
 
 
-_READ = pa.schema(
-    [
-        ("LineId", pa.int64()), ("Logrecord", pa.string()), ("mark", pa.int64()), ("layout", pa.string()), ("shape", pa.string()), ("lv", pa.string()), ("comp", pa.string()), ("at", pa.string()), ("msg", pa.string()),
-        ("member", pa.string()), ("closes", pa.bool_()), ("second", pa.string()), ("own", pa.string()), ("msg0", pa.string()), ("multi", pa.bool_()), ("text", pa.string()),
-    ]
-)
-_READ_SQL = "LineId bigint, Logrecord string, mark bigint, layout string, shape string, lv string, comp string, at string, msg string, member string, closes boolean, second string, own string, msg0 string, multi boolean, text string"
+#: Of each row: what a header says, and what rows below a header may add to it.
+_READ = [
+    ("LineId", pa.int64()), ("Logrecord", pa.string()), ("mark", pa.int64()), ("layout", pa.string()), ("lv", pa.string()), ("comp", pa.string()),
+    ("member", pa.string()), ("closes", pa.bool_()), ("second", pa.string()), ("own", pa.string()), ("multi", pa.bool_()),
+    ("at", pa.string()), ("msg", pa.string()), ("shape", pa.string()), ("text", pa.string()),
+]
+#: The columns that the result needs with bodies only.
+_BODY = 4
 
 
 def _first_line(content: str) -> str:
@@ -466,40 +465,33 @@ def _first_line(content: str) -> str:
 
 
 def _read_rows(batches: Iterator[pa.RecordBatch], specs: dict[str, dict[str, dict]], bodies: bool) -> Iterator[pa.RecordBatch]:
-    """Header and text of every row; texts that the result does not need are left out."""
+    """Header and text of every row that no parser read before."""
+    fields = _READ if bodies else _READ[:-_BODY]
     own_level = lambda line: m[1] if (m := _OWN_LEVEL.match(line)) else None
     for b in batches:
         rows: list[tuple] = []
-        for line, record, date, time, level, comp, content in zip(*(c.to_pylist() for c in b.columns)):
+        for line, record, content in zip(*(c.to_pylist() for c in b.columns)):
             content = content or ""
-            if date is not None:
-                rows.append((line, record, line, "parsed", None, level_of(level.strip()) if level else None, comp, f"{date} {time}" if time is not None else date, content if bodies else None, None, None, None, None, None, None, None))
-                continue
             first = _first_line(content)
             h = read_header(first, content, specs, bodies) if first[:1].strip() else None
             multi = len(first) < len(content) and "\n" in content
-            member = own = msg0 = second = None
-            closes = False
             if h is None:
-                member = first if _MEMBER.match(first) else None
-                closes = first[:1] == "}"
-                own = own_level(first)
-                msg0 = first if own else None
-                rows.append((line, record, None, None, None, None, None, None, None, member, closes, None, own, msg0, multi, content if bodies else None))
+                row = (line, record, None, None, None, None, first if _MEMBER.match(first) else None, first[:1] == "}", None, own_level(first), multi)
+                rows.append(row + (None, None, None, content) if bodies else row)
                 continue
-            msg = None
+            second = own_level(content.split("\n", 2)[1]) if multi and h.layout.endswith("$") else None
+            row = (line, record, line, h.layout, h.level, h.component, None, False, second, None, multi)
             if bodies:
                 msg = h.message
-                if h.layout == "jsonopen":
-                    behind = _OBJECT.sub("", content, count=1) if multi else ""
+                if h.layout == "jsonlines":
+                    behind = _OBJECT.sub("", content, count=1)
                     msg = "\n".join(x for x in (msg, behind) if x) if msg or behind else msg
-                elif multi:
+                elif multi and h.layout != "jsonopen":
                     msg = f"{msg or ''}\n{content.split(chr(10), 1)[1]}"
-            if multi and h.layout.endswith("$"):
-                second = own_level(content.split("\n", 2)[1])
-            rows.append((line, record, line, h.layout, h.shape, h.level, h.component, h.time, msg, None, False, second, None, None, multi, content if bodies and h.layout == "jsonopen" else None))
+                row += (h.time, msg, h.shape, content if h.layout == "jsonopen" else None)
+            rows.append(row)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _READ)], schema=_READ)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
 
 def _level_of(tok: Column) -> Column:
@@ -540,22 +532,27 @@ def entries(log_lines: DataFrame, bodies: bool = True) -> DataFrame:
     '' where the header has none.  message is the text after the header with
     the further rows of the entry as lines below it, however the entry was
     delivered, NULL rows being blank lines; rows of a JSON object that is the
-    header are no text of their own.  Without ``bodies`` message and template
-    are NULL and no text is read beyond the headers.  layout is the kinds of
+    header are no text of their own.  Without ``bodies`` no text is read beyond
+    the headers, and message and template are NULL.  layout is the kinds of
     the tokens the entry opens with ('$' where the header is the whole line),
-    or parsed, keys, json or jsonopen.  n_rows counts the rows of the entry.
+    or parsed, keys, json, jsonlines (an object in one row) or jsonopen (in
+    several).  n_rows counts the rows of the entry.
     An empty table gives no rows.
     """
     base = log_lines.select(F.col("LineId").cast("bigint"), "Logrecord", F.col("Date").cast("string"), F.col("Time").cast("string"), "Level", "Component", "Content").where("LineId is not null")
     first = F.regexp_replace(F.split("Content", "\n", 2)[0], r"\r$", "")
     shapes, words = templates(base.where(F.col("Date").isNull() & F.col("Content").rlike(r"^[^\s{]")).select(first.alias("first")))
     specs = layouts(shapes, words)
-    d = _before(base.mapInArrow(lambda b: _read_rows(b, specs, bodies), _READ_SQL), "mark", "prov")
+    sql = ", ".join(f"{n} {({pa.int64(): 'bigint', pa.bool_(): 'boolean'}).get(t, 'string')}" for n, t in (_READ if bodies else _READ[:-_BODY]))
+    read = base.where(F.col("Date").isNull()).select("LineId", "Logrecord", "Content").mapInArrow(lambda b: _read_rows(b, specs, bodies), sql)
+    told = {"LineId": F.col("LineId"), "Logrecord": F.col("Logrecord"), "mark": F.col("LineId"), "layout": F.lit("parsed"), "lv": _level_of(F.trim("Level")), "comp": F.col("Component"), "at": F.concat_ws(" ", "Date", "Time"), "msg": F.col("Content")}
+    parsed = base.where(F.col("Date").isNotNull()).select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in read.schema])
+    d = _before(read.unionByName(parsed), "mark", "prov")
     body = F.col("LineId") > F.col("prov")
     none = F.lit(None).cast("string")
     texts = [F.collect_list(F.when(body & F.col("text").isNotNull(), F.struct("LineId", "text"))).alias("below"), F.max(F.when(~body, F.col("text"))).alias("opening")] if bodies else []
     prov = d.where("prov is not null").groupBy("Logrecord", "prov").agg(
-        F.max(F.when(~body, F.struct("layout", "shape", "lv", "comp", "at", "msg", "second", "multi"))).alias("h"),
+        F.max(F.when(~body, F.struct("layout", "lv", "comp", "second", "multi", *(["at", "msg", "shape"] if bodies else [none.alias("at"), none.alias("msg"), none.alias("shape")])))).alias("h"),
         F.min(F.when(body, F.struct("LineId", "own"))).alias("next"),
         F.array_sort(F.collect_list(F.when(body & F.col("member").isNotNull(), F.struct("LineId", "member")))).alias("members"),
         F.min(F.when(body & F.col("closes"), F.col("LineId"))).alias("closing"),
