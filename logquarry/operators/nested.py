@@ -3,15 +3,17 @@
 ``shred`` hashes every object and array of a JSON document bottom-up over its
 canonical form (keys in order, one spelling per number), so equal subtrees have
 equal 128-bit identities whatever their whitespace or key order.  An object is
-stored once, as the bridge rows (parent, key, ordinal, child) below it; each
-document only adds one row with the identity of its root.  ``works_flat`` walks
-that bridge level by level, on distinct parents, and joins the documents last.
+stored once, as the bridge rows (parent, key, ordinal, child) below it, and a
+work once more as the list of its nodes; each document only adds one row with
+the identity of its root and one for each work it holds, with its ordinal.
+``works_flat`` joins these occurrences to the distinct works.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,72 +22,135 @@ from pyspark.sql import functions as F
 
 from logquarry.session import durable
 
-SHRED_SCHEMA = "response_id bigint, parent binary, key string, ordinal int, child binary, kind string, filled boolean, value string"
+#: What ``shred`` can give: answers with their roots, members of objects and arrays, works of answers, nodes of works.
+PARTS = ("answers", "members", "works", "nodes")
+_NODE = pa.struct([("node", pa.string()), ("pos", pa.int32()), ("subpos", pa.int32()), ("value", pa.string()), ("object_id", pa.binary())])
 _ARROW = pa.schema(
-    [("response_id", pa.int64()), ("parent", pa.binary()), ("key", pa.string()), ("ordinal", pa.int32()), ("child", pa.binary()), ("kind", pa.string()), ("filled", pa.bool_()), ("value", pa.string())]
-)
+    [
+        ("part", pa.string()), ("response_id", pa.int64()), ("id", pa.binary()), ("key", pa.string()), ("ordinal", pa.int32()), ("child", pa.binary()),
+        ("kind", pa.string()), ("filled", pa.bool_()), ("value", pa.string()), ("nodes", pa.list_(_NODE)),
+    ]
+)
+SHRED_SCHEMA = "part string, response_id bigint, id binary, key string, ordinal int, child binary, kind string, filled boolean, value string, nodes array<struct<node: string, pos: int, subpos: int, value: string, object_id: binary>>"
+#: Rows of one batch, counting nodes.
+_BATCH = 20_000
 
 
-class _Shredder:
-    """Collects the bridge rows of one Arrow batch, each distinct parent once.
+def _full(v) -> bool:
+    """Whether a value is more than null, '' or an empty container."""
+    return v is not None and v != "" and v != [] and v != {}
+
+
+def _elements(v) -> list[tuple[int, object]]:
+    """Values with their positions; what is no array counts as one of one."""
+    return list(enumerate(v if isinstance(v, list) else [v]))
+
+
+def _kind(v) -> str:
+    return "null" if v is None else "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "string" if isinstance(v, str) else "bool" if isinstance(v, bool) else "number"
 
-    With ``keep`` only members of these names are stored, on the way from the
-    root; identities cover whole subtrees all the same.
-    """
 
-    def __init__(self, keep: frozenset[str] | None = None) -> None:
+def _text(v) -> str | None:
+    """Scalars as text; of null and containers None."""
+    if isinstance(v, str):
+        return v.encode("utf-8", "replace").decode()
+    return None if v is None or isinstance(v, (dict, list)) else "true" if v is True else "false" if v is False else repr(v)
+
+
+class _Shredder:
+    """Collects the rows of one Arrow batch, each distinct object, array and work once."""
+
+    def __init__(self, parts: frozenset[str]) -> None:
         self.rows: list[tuple] = []
+        self.size = 0
         self.seen: set[bytes] = set()
-        self.keep = keep
-
-    @staticmethod
-    def _hash(tag: str, parts: list[bytes]) -> bytes:
-        h = hashlib.blake2b(tag.encode("utf-8", "surrogatepass"), digest_size=16)
-        for p in parts:
-            h.update(len(p).to_bytes(8, "little"))
-            h.update(p)
-        return h.digest()
-
-    def add(self, root) -> tuple[bytes, str, bool]:
-        """Identity, kind and filled-flag of a value; adds bridge rows.  Iterative, so depth is not bound by recursion."""
-        out: list[tuple[bytes, str, bool, str | None]] = []
-        keep = self.keep
-        stack: list[tuple[object, bool, bool]] = [(root, False, True)]
-        while stack:
-            v, ready, on = stack.pop()
-            if isinstance(v, (dict, list)) and not ready:
-                stack.append((v, True, on))
-                if isinstance(v, dict):
-                    stack.extend((v[k], False, on and (keep is None or k in keep)) for k in sorted(v, reverse=True))
-                else:
-                    stack.extend((x, False, on) for x in reversed(v))
+        self.works: set[bytes] = set()
+        self.parts = parts
+        self.members = "members" in parts
+        self.ids: dict[int, bytes] = {}  # identities of the containers of the document at hand
+
+    def _encode(self, v) -> bytes:
+        """What a value adds to its parent's identity: its text, or the identity of a container."""
+        t = type(v)
+        if t is str:
+            raw = v.encode("utf-8", "surrogatepass")
+            return b"s%d:%b" % (len(raw), raw)
+        if t is dict:
+            parts = [b"o"]
+            for k in sorted(v):
+                raw = k.encode("utf-8", "surrogatepass")
+                parts.append(b"%d:%b" % (len(raw), raw))
+                parts.append(self._encode(v[k]))
+        elif t is list:
+            parts = [b"a", *map(self._encode, v)]
+        else:
+            return b"n" if v is None else b"T" if v is True else b"F" if v is False else b"d%b;" % repr(v).encode()
+        me = hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+        self.ids[id(v)] = me
+        if self.members and me not in self.seen:
+            self.seen.add(me)
+            pairs = [(None, x) for x in v] if t is list else [(k.encode("utf-8", "replace").decode(), v[k]) for k in sorted(v)]
+            for i, (k, x) in enumerate(pairs):
+                self._row("members", None, me, k, i, self.ids.get(id(x)) if isinstance(x, (dict, list)) else None, _kind(x), _full(x), _text(x))
+        return b"#" + me
+
+    def _row(self, *row) -> None:
+        self.rows.append(row if len(row) == len(_ARROW) else (*row, *[None] * (len(_ARROW) - len(row))))
+        self.size += 1
+
+    def add(self, response_id: int, message: dict) -> None:
+        """Rows of one answer."""
+        self.ids.clear()
+        self._encode(message)
+        root = self.ids[id(message)]
+        if "answers" in self.parts:
+            self._row("answers", response_id, root)
+        if "works" not in self.parts and "nodes" not in self.parts:
+            return
+        for pos, work in _elements(message["items"]) if "items" in message else [(0, message)]:
+            if work is None:
+                continue
+            me = self.ids.get(id(work)) if isinstance(work, (dict, list)) else None
+            if "works" in self.parts:
+                self._row("works", response_id, root, "items" if "items" in message else None, pos, me, _kind(work), _full(work), _text(work))
+            if "nodes" in self.parts and isinstance(work, dict) and me not in self.works:
+                self.works.add(me)
+                nodes = self._nodes(work)
+                self.size += len(nodes)
+                self._row("nodes", None, me, None, None, None, None, None, None, nodes)
+
+    def _nodes(self, work: dict) -> list[tuple]:
+        """(node, pos, subpos, value, object_id) of a work."""
+        made: list[tuple] = []
+
+        def node(name: str, pos: int, subpos: int, v) -> None:
+            made.append((name, pos, subpos, _text(v), self.ids.get(id(v)) if isinstance(v, (dict, list)) else None))
+
+        if _full(doi := work.get("DOI")):
+            node("doi", -1, -1, doi)
+        for name in ("title", "author"):
+            if not _full(work.get(name)):
                 continue
-            if isinstance(v, (dict, list)):
-                n = len(v)
-                kids = out[len(out) - n :] if n else []
-                del out[len(out) - n :]
-                kind = "object" if isinstance(v, dict) else "array"
-                keys = sorted(v) if kind == "object" else [None] * n
-                parts: list[bytes] = []
-                for k, (h, *_) in zip(keys, kids):
-                    parts += ([k.encode("utf-8", "surrogatepass")] if k is not None else []) + [h]
-                me = self._hash(kind, parts)
-                if on and me not in self.seen:
-                    self.seen.add(me)
-                    for i, (k, (h, kd, fl, val)) in enumerate(zip(keys, kids)):
-                        if k is None or keep is None or k in keep:
-                            self.rows.append((None, me, k, i, h, kd, fl, val))
-                out.append((me, kind, n > 0, None))
-            elif v is None:
-                out.append((self._hash("null", []), "null", False, None))
-            elif isinstance(v, str):
-                out.append((self._hash("string", [v.encode("utf-8", "surrogatepass")]), "string", v != "", v.encode("utf-8", "replace").decode()))
-            elif isinstance(v, bool):
-                out.append((self._hash("bool", [b"1" if v else b"0"]), "bool", True, "true" if v else "false"))
-            else:
-                out.append((self._hash("number", [repr(v).encode()]), "number", True, repr(v)))
-        h, kind, filled, _ = out[0]
-        return h, kind, filled
+            for pos, v in _elements(work[name]):
+                if not _full(v):
+                    continue
+                node(name, pos, -1, v)
+                if name == "author" and isinstance(v, dict) and _full(v.get("affiliation")):
+                    for sub, x in _elements(v["affiliation"]):
+                        if _full(x):
+                            node("affiliation", pos, sub, x)
+        indexed = work.get("indexed")
+        if isinstance(indexed, dict) and _full(indexed.get("date-parts")):
+            for pos, v in _elements(indexed["date-parts"]):
+                if _full(v):
+                    for sub, x in _elements(v):
+                        if _full(x):
+                            node("date_part", pos, sub, x)
+        return made
+
+    def batch(self) -> pa.RecordBatch:
+        cols = zip(*self.rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
 
 def _no_constant(x: str):
@@ -113,45 +178,51 @@ def read_answer(status_code, body) -> dict | None:
     return msg
 
 
-def _shred_batches(batches: Iterator[pa.RecordBatch], keep: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
+def _shred_batches(batches: Iterator[pa.RecordBatch], parts: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # as deep as the JSON reader goes
+    s = _Shredder(parts)
     for b in batches:
-        s = _Shredder(keep)
         ids, codes, bodies = (b.column(i).to_pylist() for i in range(3))
         for rid, code, body in zip(ids, codes, bodies):
             msg = read_answer(code, body)
             if msg is None:
                 continue
-            h, kind, filled = s.add(msg)
-            s.rows.append((rid, None, None, 0, h, kind, filled, None))
-            if len(s.rows) >= 20_000:
-                yield _batch(s.rows)
-                s = _Shredder(keep)
-        if s.rows:
-            yield _batch(s.rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
-
-
-def shred(api: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(occurrences, bridge)`` of the messages in ``api_responses``.
-
-    occurrences: (response_id, root), one row per readable answer.
-    bridge: (parent, key, ordinal, child, kind, filled, value), one row per
-    member of each distinct object or array; key is NULL inside arrays, value
-    holds scalars, filled is false for null, '' and empty containers.
-
-    ``keep`` names the members to store, if not all.  NULL bodies, error
-    answers and broken text give no rows; a repeated answer
+            s.add(rid, msg)
+            if s.size >= _BATCH:
+                yield s.batch()
+                s = _Shredder(parts)
+    if s.rows:
+        yield s.batch()
+
+
+def shred(api: DataFrame, parts: tuple[str, ...] = PARTS) -> dict[str, DataFrame]:
+    """Related tables of the messages in ``api_responses``, by name:
+
+    answers: (response_id, root), one row per readable answer.
+    members: (parent, key, ordinal, child, kind, filled, value), the bridge:
+    one row per member of each distinct object or array, of every name; key is
+    NULL inside arrays, value holds scalars, child the identity of an object
+    or array, filled is false for null, '' and empty containers.
+    works: (response_id, root, key, item_pos, work, kind, value), one row per
+    work of an answer; a work that is no object has its value instead of an
+    identity, and a single work is its own root, with a NULL key.
+    nodes: (work, nodes), the nodes of each distinct work.
+
+    Only ``parts`` are made; identities cover whole subtrees all the same.
+    NULL bodies, error answers and broken text give no rows; a repeated answer
     adds an occurrence, not a second copy of its objects; further columns of
-    the input are ignored; an empty input gives two empty tables.
+    the input are ignored; an empty input gives empty tables.
     """
-    names = frozenset(keep) if keep else None
-    raw = durable(api.select(F.col("response_id").cast("bigint"), F.col("status_code").cast("int"), "body").mapInArrow(lambda b: _shred_batches(b, names), SHRED_SCHEMA))
-    occ = raw.where("parent is null").select("response_id", F.col("child").alias("root"))
-    bridge = durable(raw.where("parent is not null").drop("response_id").distinct())
-    return occ, bridge
+    want = frozenset(parts)
+    raw = durable(api.select(F.col("response_id").cast("bigint"), F.col("status_code").cast("int"), "body").mapInArrow(lambda b: _shred_batches(b, want), SHRED_SCHEMA))
+    of = lambda part: raw.where(F.col("part") == part)
+    every = {
+        "answers": lambda: of("answers").select("response_id", F.col("id").alias("root")),
+        "members": lambda: durable(of("members").select(F.col("id").alias("parent"), "key", "ordinal", "child", "kind", "filled", "value").dropDuplicates(["parent", "ordinal"])),
+        "works": lambda: of("works").select("response_id", F.col("id").alias("root"), "key", F.col("ordinal").alias("item_pos"), F.col("child").alias("work"), "kind", "value"),
+        "nodes": lambda: of("nodes").select(F.col("id").alias("work"), "nodes").dropDuplicates(["work"]),
+    }
+    return {p: every[p]() for p in PARTS if p in want}
 
 
 def _first_title(msg: dict) -> str | None:
@@ -178,70 +249,29 @@ def first_titles(api: DataFrame, keep: list[str]) -> DataFrame:
     return d.mapInArrow(run, schema).where("title is not null")
 
 
-def nodes(bridge: DataFrame) -> DataFrame:
+def nodes(members: DataFrame) -> DataFrame:
     """One row per distinct object or array: identity, number of members, number of places it is used."""
-    own = bridge.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_members"))
-    used = bridge.where("kind in ('object','array')").groupBy(F.col("child").alias("node")).agg(F.count("*").alias("n_used"))
+    own = members.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_members"))
+    used = members.where("child is not null").groupBy(F.col("child").alias("node")).agg(F.count("*").alias("n_used"))
     return own.join(used, "node", "left").select("node", "n_members", F.coalesce("n_used", F.lit(0)).cast("bigint").alias("n_used"))
 
 
-def _members(df: DataFrame, bridge: DataFrame, keys: list[str] | None) -> DataFrame:
-    """Children of the objects (keys) or arrays (None) in column ``at``; adds key, ordinal, child, kind, filled, value."""
-    b = bridge.where(F.col("key").isin(keys) if keys else F.col("key").isNull())
-    return df.join(b.withColumnRenamed("parent", "at"), "at")
-
-
-def _elements(df: DataFrame, bridge: DataFrame, pos: str) -> DataFrame:
-    """Elements with their position of the values in (child, kind, filled, value); a bare value is an array of one."""
-    bare = df.where("kind <> 'array'").withColumn(pos, F.lit(0))
-    keep = [c for c in df.columns if c not in ("child", "kind", "filled", "value")]
-    deep = _members(df.where("kind = 'array'").select(*keep, F.col("child").alias("at")), bridge, None)
-    deep = deep.select(*keep, F.col("ordinal").alias(pos), "child", "kind", "filled", "value")
-    return bare.select(*deep.columns).unionByName(deep)
-
-
 def works_flat(api: DataFrame) -> DataFrame:
     """Nodes of every work: (response_id, item_pos, node, pos, subpos, value, object_id).
 
     node is item, doi, title, author, affiliation or date_part; value is the
-    scalar text where the node is one, object_id the identity of the subtree,
-    so equal authors or works share it and the rows of a work are linked to it
-    by (response_id, item_pos).  Null, missing and empty values give no row;
-    nulls inside an array keep the positions of the rest.
+    scalar text where the node is one, object_id the identity of the subtree
+    where it is an object or array, the parent of its rows in the bridge; rows
+    of a work are linked to it by (response_id, item_pos).  Null, missing and
+    empty values give no row; nulls inside an array keep the positions of the
+    rest.  A work that many answers hold is one row on its side of the join.
     """
-    occ, bridge = shred(api, ["items", "DOI", "title", "author", "indexed", "affiliation", "date-parts"])
-    roots = occ.select("root").distinct()
-    fields = ("child", "kind", "filled", "value")
-    under = _members(roots.withColumn("at", F.col("root")), bridge, ["items"])
-    items = _elements(under.select("root", *fields), bridge, "item_pos").where("kind <> 'null'")
-    single = (
-        roots.join(under.select("root"), "root", "left_anti")
-        .select("root", F.lit(0).alias("item_pos"), F.col("root").alias("child"), F.lit("object").alias("kind"), F.lit(True).alias("filled"), F.lit(None).cast("string").alias("value"))
-    )
-    items = durable(items.select("root", "item_pos", *fields).unionByName(single))
-    distinct_works = items.where("kind = 'object'").select(F.col("child").alias("work")).distinct()
+    t = shred(api, ("works", "nodes"))
     none = F.lit(-1)
-    got = _members(distinct_works.withColumn("at", F.col("work")), bridge, ["DOI", "title", "author", "indexed"]).where("filled")
-    got = durable(got.select("work", F.col("key").alias("field"), *fields))
-    doi = got.where("field = 'DOI'").select("work", F.lit("doi").alias("node"), none.alias("pos"), none.alias("subpos"), "value", "child")
-    lists = durable(_elements(got.where("field in ('title','author')"), bridge, "pos").where("filled"))
-    flat1 = lists.select("work", F.col("field").alias("node"), "pos", none.alias("subpos"), "value", "child")
-    deeper = (
-        lists.where("field = 'author' and kind = 'object'").select("work", "pos", F.col("child").alias("at"), F.lit("affiliation").alias("want"))
-        .unionByName(got.where("field = 'indexed' and kind = 'object'").select("work", none.alias("pos"), F.col("child").alias("at"), F.lit("date-parts").alias("want")))
-    )
-    inner = durable(_members(deeper, bridge, ["affiliation", "date-parts"]).where("filled and key = want").select("work", "pos", F.col("key").alias("field"), *fields))
-    els = durable(_elements(inner, bridge, "i").where("filled"))
-    aff = els.where("field = 'affiliation'").select("work", F.lit("affiliation").alias("node"), "pos", F.col("i").alias("subpos"), "value", "child")
-    parts = _elements(els.where("field = 'date-parts'"), bridge, "j").where("filled")
-    dates = parts.select("work", F.lit("date_part").alias("node"), F.col("i").alias("pos"), F.col("j").alias("subpos"), "value", "child")
-    flat = doi.unionByName(flat1).unionByName(aff).unionByName(dates)
-    per_root = (
-        items.where("kind = 'object'").select("root", "item_pos", F.col("child").alias("work")).join(flat, "work")
-        .select("root", "item_pos", "node", "pos", "subpos", "value", F.col("child").alias("object_id"))
-        .unionByName(items.select("root", "item_pos", F.lit("item").alias("node"), none.alias("pos"), none.alias("subpos"), "value", F.col("child").alias("object_id")))
-    )
-    return occ.join(per_root, "root").select("response_id", "item_pos", "node", "pos", "subpos", "value", "object_id")
+    items = t["works"].select("response_id", "item_pos", F.lit("item").alias("node"), none.alias("pos"), none.alias("subpos"), "value", F.col("work").alias("object_id"))
+    inner = t["works"].where("kind = 'object'").select("response_id", "item_pos", "work").join(t["nodes"], "work")
+    inner = inner.select("response_id", "item_pos", F.explode("nodes").alias("n")).select("response_id", "item_pos", "n.*")
+    return items.unionByName(inner)
 
 
 def found(api: DataFrame) -> DataFrame:

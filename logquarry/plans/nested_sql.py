@@ -20,8 +20,13 @@ wl AS (SELECT response_id, CASE WHEN list_contains(json_keys(m), 'items') THEN C
 wk AS (SELECT response_id, i - 1 AS item_pos, ws[i] AS w FROM (SELECT response_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM wl) WHERE json_type(ws[i]) <> 'NULL')"""
 
 
-def nodes_sql() -> str:
-    """(response_id, item_pos, node, pos, subpos) of every node."""
+def _value(x: str) -> str:
+    return f"CASE WHEN json_type({x}) NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string({x}, '$') END"
+
+
+def nodes_sql(values: bool = False) -> str:
+    """(response_id, item_pos, node, pos, subpos[, value]) of every node."""
+    v = (lambda x: f", {_value(x)} AS value") if values else (lambda x: "")
     return f"""WITH {works_sql()},
 f AS (SELECT response_id, item_pos, json_extract(w, '$.title') AS t, json_extract(w, '$.DOI') AS d, json_extract(w, '$.author') AS a, json_extract(w, '$.indexed."date-parts"') AS dp FROM wk),
 tt AS (SELECT response_id, item_pos, unnest(range(len({_els('t')}))) AS pos, unnest({_els('t')}) AS x FROM f WHERE {_full('t')}),
@@ -30,12 +35,12 @@ al AS (SELECT response_id, item_pos, pos, json_extract(x, '$.affiliation') AS al
 af AS (SELECT response_id, item_pos, pos, unnest(range(len({_els('al')}))) AS subpos, unnest({_els('al')}) AS x FROM al WHERE {_full('al')}),
 dl AS (SELECT response_id, item_pos, unnest(range(len({_els('dp')}))) AS pos, unnest({_els('dp')}) AS x FROM f WHERE {_full('dp')}),
 di AS (SELECT response_id, item_pos, pos, unnest(range(len({_els('x')}))) AS subpos, unnest({_els('x')}) AS y FROM dl WHERE {_full('x')})
-SELECT response_id, item_pos, 'item' AS node, -1 AS pos, -1 AS subpos FROM wk
-UNION ALL SELECT response_id, item_pos, 'doi', -1, -1 FROM f WHERE {_full('d')}
-UNION ALL SELECT response_id, item_pos, 'title', pos, -1 FROM tt WHERE {_full('x')}
-UNION ALL SELECT response_id, item_pos, 'author', pos, -1 FROM au WHERE {_full('x')}
-UNION ALL SELECT response_id, item_pos, 'affiliation', pos, subpos FROM af WHERE {_full('x')}
-UNION ALL SELECT response_id, item_pos, 'date_part', pos, subpos FROM di WHERE {_full('y')}"""
+SELECT response_id, item_pos, 'item' AS node, -1 AS pos, -1 AS subpos{v('w')} FROM wk
+UNION ALL SELECT response_id, item_pos, 'doi', -1, -1{v('d')} FROM f WHERE {_full('d')}
+UNION ALL SELECT response_id, item_pos, 'title', pos, -1{v('x')} FROM tt WHERE {_full('x')}
+UNION ALL SELECT response_id, item_pos, 'author', pos, -1{v('x')} FROM au WHERE {_full('x')}
+UNION ALL SELECT response_id, item_pos, 'affiliation', pos, subpos{v('x')} FROM af WHERE {_full('x')}
+UNION ALL SELECT response_id, item_pos, 'date_part', pos, subpos{v('y')} FROM di WHERE {_full('y')}"""
 
 
 def titles_sql() -> str:

@@ -18,6 +18,10 @@ def queries() -> dict[str, Query]:
     return catalog.QUERIES | {
         "p3_found": lambda s, d: nested.found(load(s, d, "api_responses")),
         "p3_flat": lambda s, d: nested.works_flat(load(s, d, "api_responses")).drop("object_id"),
+        "p3_answers": lambda s, d: nested.shred(load(s, d, "api_responses"), ("answers",))["answers"],
+        "p3_links": lambda s, d: nested.shred(load(s, d, "api_responses"), ("works",))["works"],
+        "p3_bridge": lambda s, d: nested.shred(load(s, d, "api_responses"), ("members",))["members"],
+        "p3_objects": lambda s, d: nested.nodes(nested.shred(load(s, d, "api_responses"), ("members",))["members"]),
         "p4_found": lambda s, d: logparse.found(load(s, d, "log_lines")),
         "p4_entries": lambda s, d: logparse.entries(load(s, d, "log_lines")),
     }
@@ -25,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the core queries."""
-    return catalog.SQL | {"p3_found": nested_sql.nodes_sql()}
+    return catalog.SQL | {"p3_found": nested_sql.nodes_sql(), "p3_flat": nested_sql.nodes_sql(values=True)}

@@ -40,11 +40,36 @@ def test_errors_broken_null_and_empty(spark):
 def test_equal_subtrees_are_stored_once(spark):
     a = '{"message": {"author": [{"name": "q", "affiliation": []}, {"affiliation": [], "name": "q"}]}}'
     df = spark.createDataFrame([(1, 200, a), (2, 200, a.replace(" ", "  "))], "response_id long, status_code int, body string")
-    occ, bridge = nested.shred(df)
-    assert occ.count() == 2 and occ.select("root").distinct().count() == 1
-    authors = bridge.where("key is null").collect()
+    t = nested.shred(df)
+    assert t["answers"].count() == 2 and t["answers"].select("root").distinct().count() == 1
+    authors = t["members"].where("key is null").collect()
     assert len(authors) == 2 and authors[0]["child"] == authors[1]["child"]
-    assert nested.nodes(bridge).where("n_used = 2").count() >= 1
+    assert nested.nodes(t["members"]).where("n_used = 2").count() >= 1
+    assert t["works"].count() == 2 and t["nodes"].count() == 1
+
+
+def test_documents_are_rebuilt_from_the_bridge(spark):
+    """An exact round trip: every document comes back from its root and the members of distinct objects."""
+    docs = [
+        {"title": ["a", None, ""], "x": {"y": [1, 2.5, True, False, None, [], {}], "ü": "\u0000\n"}, "items": {"b": [[["deep"]]]}}, {"a": 1}, {"a": 1.0}, {"a": "1"}, {"a": True}, {"a": [1]}, {"a": {"": [1]}}, {"a": ["1", "2"]}, {"a": ["12", ""]}, {"a": None}, {},
+    ]
+    df = spark.createDataFrame([(i, 200, json.dumps({"message": d}), "x") for i, d in enumerate(docs * 2)], "response_id long, status_code int, body string, parent string")
+    t = nested.shred(df.repartition(3))
+    kids: dict = {}
+    for r in t["members"].collect():
+        kids.setdefault(bytes(r["parent"]), {})[r["ordinal"]] = r
+    empty: dict = {}
+
+    def build(ident, kind):
+        rows = [kids.get(ident, empty)[i] for i in sorted(kids.get(ident, empty))]
+        scalar = {"string": str, "number": json.loads, "bool": lambda v: v == "true", "null": lambda v: None}
+        got = [(r["key"], build(bytes(r["child"]), r["kind"]) if r["child"] is not None else scalar[r["kind"]](r["value"])) for r in rows]
+        return dict(got) if kind == "object" else [v for _, v in got]
+
+    rebuilt = {r["response_id"]: build(bytes(r["root"]), "object") for r in t["answers"].collect()}
+    assert all(json.dumps(rebuilt[i], sort_keys=True) == json.dumps(d, sort_keys=True) for i, d in enumerate(docs * 2))
+    roots = {r["response_id"]: bytes(r["root"]) for r in t["answers"].collect()}
+    assert len(set(roots.values())) == len(docs) and all(roots[i] == roots[i + len(docs)] for i in range(len(docs)))
 
 
 def test_deep_and_long(spark):
