@@ -1,33 +1,41 @@
 """Problem 2: spellings of names linked to the registry entry they mean.
 
 Metric-space partitioning: the family part of a name (of an organisation, its
-proper part) is a point under the Levenshtein distance, a true metric.  Every
-registry point lies in the cell of its nearest pivot; a typed name goes to each
-cell that may hold a point within the radius, as the triangle inequality
-tells, and inside a cell an exact radius join runs.  An exact check of the
-whole name then settles which entry is meant, if it is one only.
+proper part) is a point.  Pivots part the space under the bag distance, the
+least edits that turn the letters of one word into those of another whatever
+their order: a true metric, below the edit distance, to which a swap costs
+nothing, so the radius stays one and the cells prune.  Every registry point
+lies in the cell of its nearest pivot; a typed name goes to each cell that may
+hold a point within the radius, as the triangle inequality tells of the cell's
+pivot and of every other, and inside a cell an exact radius join runs under the
+Damerau-Levenshtein distance.  An exact check of the whole name then settles
+which entry is meant, if it is one only.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-#: Levenshtein radius of the join: one slip, a swap of neighbours counting two.
-RADIUS = 2
-#: Pivots, and the most registry points they are chosen from.
-PIVOTS, PIVOT_SAMPLE = 16, 512
+#: Radius of the join: one letter missing, added, changed or swapped with its neighbour.
+RADIUS = 1
+#: Points of a cell on average, and the bounds of the number of pivots, which are taken in hash order of the points.
+CELL_POINTS, LEAST_PIVOTS, MOST_PIVOTS = 4, 4, 1024
+#: Letters are counted in so many classes.
+LETTERS = 32
 SALTS = 8
 
-#: Short forms of given names and the names they stand for.
-NICKNAMES = {
+#: Short forms of given names and the names they stand for; a parameter of ``link`` and ``found``.
+#: Short forms that are beginnings of a name need no entry.
+NICKNAMES: dict[str, str | tuple[str, ...]] = {
     "alex": "alexander", "sasha": "alexander", "sandy": "alexander", "al": "alexander", "xander": "alexander",
     "archie": "archibald", "baldo": "archibald", "ben": "benjamin", "benny": "benjamin", "benji": "benjamin",
     "chris": "christopher", "kit": "christopher", "topher": "christopher",
@@ -187,7 +195,7 @@ def _readings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([[{"kind": k, "point": p, "rest": r} for k, p, r in readings(x)] for x in s])
 
 
-def tier(kind: str, point: str, rest: list[str], r_point: str, r_rest: list[str]) -> int:
+def tier(kind: str, point: str, rest: list[str], r_point: str, r_rest: list[str], nicknames: Mapping[str, str | tuple[str, ...]] = NICKNAMES) -> int:
     """How well a reading fits a registry entry: 0 best, 99 not at all."""
     f = slip(point, r_point)
     if f > 1 or (f and len(r_point) < 4):
@@ -208,13 +216,14 @@ def tier(kind: str, point: str, rest: list[str], r_point: str, r_rest: list[str]
         head = full[0]
         if head == given or " ".join(full) == given:
             return 0 + 10 * f
-        nick = NICKNAMES.get(head, ())
+        nick = nicknames.get(head, ())
         if given in ((nick,) if isinstance(nick, str) else nick):
             return 1 + 10 * f
         if slip(head, given) == 1 and len(given) > 2:
             return 5 + 20 * f
-        german = given_alt(head)
-        return 6 + 20 * f if german == given else 99
+        if given_alt(head) == given:
+            return 6 + 20 * f
+        return 8 + 20 * f if len(head) >= 3 and given.startswith(head) else 99
     return 30 + 10 * f if given[:1] == first[0] else 99
 
 
@@ -223,11 +232,6 @@ def given_alt(s: str) -> str:
     return s.replace("oe", "o").replace("ue", "u").replace("ae", "a")
 
 
-@F.pandas_udf(T.IntegerType())
-def _tier(kind: pd.Series, point: pd.Series, rest: pd.Series, r_point: pd.Series, r_rest: pd.Series) -> pd.Series:
-    return pd.Series([tier(k, p, list(a), q, list(b)) for k, p, a, q, b in zip(kind, point, rest, r_point, r_rest)], dtype="int32")
-
-
 def registry_points(registry: DataFrame) -> DataFrame:
     """Points of the registry: (author_id, kind, r_point, r_rest); an organisation has a second one, its acronym."""
     r = registry.select("author_id", "kind", "given", "family", "display_name")
@@ -252,72 +256,130 @@ def registry_points(registry: DataFrame) -> DataFrame:
     return e.select("author_id", F.col("z.kind").alias("kind"), F.col("z.point").alias("r_point"), F.col("z.rest").alias("r_rest"))
 
 
-def _lev(a: str, b: str) -> int:
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        cur = [i]
-        for j, y in enumerate(b, 1):
-            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
-        prev = cur
-    return prev[-1]
-
-
-def choose_pivots(points: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> list[str]:
-    """Up to ``n`` points far from each other, out of a bounded sample (``sample`` points, in hash order)."""
-    got = [r[0] for r in points.select("r_point").distinct().orderBy(F.xxhash64("r_point"), "r_point").limit(sample).collect()]
-    if not got:
-        return [""]
-    pivots = [got[0]]
-    far = {x: _lev(x, got[0]) for x in got}
-    while len(pivots) < min(n, len(got)):
-        nxt = max(got, key=lambda x: (far[x], x))
-        if far[nxt] == 0:
-            break
-        pivots.append(nxt)
-        for x in got:
-            far[x] = min(far[x], _lev(x, nxt))
-    return pivots
-
-
-def _distances(col: Column, pivots: list[str]) -> Column:
-    return F.array(*[F.levenshtein(col, F.lit(p)) for p in pivots])
-
-
-def radius_join(queries: DataFrame, points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """All pairs of ``queries(point, ...)`` and ``points(r_point, ...)`` of one kind within ``radius`` edits, exactly.
-
-    A point lies in the cell of its nearest pivot i.  A query q can meet it
-    only if d(q, p_i) <= cover_i + radius, and only if d(q, p_i) - min_j
-    d(q, p_j) <= 2 radius; it is copied to the cells that pass both.  Inside a
-    cell |d(q, p_i) - d(x, p_i)| <= radius is asked before the distance
-    itself.  Queries are salted, so a cell that draws many is spread.
+def choose_pivots(points: DataFrame) -> list[str]:
+    """Pivots: one for CELL_POINTS distinct points, within LEAST_PIVOTS and MOST_PIVOTS, in hash order.
+
+    More pivots mean smaller cells and fewer copies; their number bounds what
+    the driver and each task hold, and changes no result.
+    """
+    d = points.select("r_point").distinct()
+    n = min(max(d.count() // CELL_POINTS, LEAST_PIVOTS), MOST_PIVOTS)
+    return [r[0] for r in d.orderBy(F.xxhash64("r_point"), "r_point").limit(n).collect()] or [""]
+
+
+def letters(words: list[str]) -> np.ndarray:
+    """Letters of each word counted by class."""
+    out = np.zeros((len(words), LETTERS), np.int32)
+    for i, w in enumerate(words):
+        for c in w:
+            out[i, ord(c) % LETTERS] += 1
+    return out
+
+
+def bag_distances(words: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Bag distance of every word to every pivot, both as ``letters``: the letters one has more, or those the other has, whichever are more."""
+    more = np.zeros((len(words), len(pivots)), np.int32)
+    for k in range(LETTERS):
+        more += np.maximum(words[:, k, None] - pivots[None, :, k], 0)
+    less = more - (words.sum(1)[:, None] - pivots.sum(1)[None, :])
+    return np.maximum(more, less)
+
+
+class Cells:
+    """Cells of points around pivots, each with the least and greatest distance of its points to every pivot."""
+
+    def __init__(self, pivots: list[str], low: np.ndarray, high: np.ndarray) -> None:
+        self.pivots = letters(pivots)
+        self.low, self.high = low, high  # cell x pivot; low is above high where a cell is empty
+
+    def of(self, words: list[str], radius: int) -> list[list[int]]:
+        """The cells that may hold a point within the radius of each word."""
+        out: list[list[int]] = []
+        for start in range(0, len(words), 512):
+            d = bag_distances(letters(words[start : start + 512]), self.pivots)
+            # x lies nearest to its own pivot: d(q, p) <= d(x, p) + r <= d(x, p') + r <= d(q, p') + 2 r
+            word, cell = np.nonzero(d - d.min(1)[:, None] <= 2 * radius)
+            keep = np.ones(len(word), bool)
+            for a in range(0, len(word), 4096):  # |d(q, p) - d(x, p)| <= r for every pivot
+                w, c = word[a : a + 4096], cell[a : a + 4096]
+                keep[a : a + 4096] = ((d[w] >= self.low[c] - radius) & (d[w] <= self.high[c] + radius)).all(1)
+            part: list[list[int]] = [[] for _ in range(len(d))]
+            for w, c in zip(word[keep].tolist(), cell[keep].tolist()):
+                part[w].append(c)
+            out += part
+        return out
+
+
+def make_cells(points: DataFrame) -> tuple[Cells, DataFrame]:
+    """Cells of ``points(r_point, ...)`` and the points with their ``cell``.
+
+    The driver holds the pivots and two numbers for each cell and pivot.
     """
     pivots = choose_pivots(points)
-    x = points.withColumn("dx", _distances(F.col("r_point"), pivots))
-    x = x.withColumn("near", F.array_min("dx")).withColumn("cell", F.array_position("dx", F.col("near")).cast("int") - 1).drop("dx")
-    cover = dict(x.groupBy("cell").agg(F.max("near")).collect())  # at most PIVOTS rows
-    if not cover:
-        return queries.join(points, "kind").limit(0)
-    cells = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(int(c)).alias("cover")) for i, c in sorted(cover.items())])
-    q = queries.withColumn("dq", _distances(F.col("point"), pivots)).withColumn("least", F.array_min("dq"))
-    d = lambda z: F.get("dq", z.cell)
-    to = F.filter(cells, lambda z: (d(z) <= z.cover + radius) & (d(z) - F.col("least") <= 2 * radius))
-    q = q.withColumn("to", F.explode(F.transform(to, lambda z: F.struct(z.cell.alias("cell"), d(z).alias("far"))))).select("*", "to.cell", "to.far").drop("to", "dq", "least")
-    q = q.withColumn("salt", F.pmod(F.xxhash64("point"), F.lit(SALTS)).cast("int"))
+
+    @F.pandas_udf(T.IntegerType())
+    def cell(p: pd.Series) -> pd.Series:
+        return pd.Series(bag_distances(letters(p.tolist()), letters(pivots)).argmin(1).astype("int32"))
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = letters(pivots)
+        for b in batches:
+            d = bag_distances(letters(b["r_point"].tolist()), own)
+            at = d.argmin(1)
+            rows = [(int(c), d[at == c].min(0).tolist(), d[at == c].max(0).tolist()) for c in np.unique(at)]
+            yield pd.DataFrame(rows, columns=["cell", "low", "high"])
+
+    def widest(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cell": b["cell"].iloc[:1], "low": [np.stack(b["low"]).min(0).tolist()], "high": [np.stack(b["high"]).max(0).tolist()]})
+
+    schema = "cell int, low array<int>, high array<int>"
+    got = points.select("r_point").distinct().mapInPandas(spans, schema).groupBy("cell").applyInPandas(widest, schema).collect()
+    low, high = np.full((len(pivots), len(pivots)), 1 << 30), np.full((len(pivots), len(pivots)), -(1 << 30))
+    for r in got:
+        low[r["cell"]], high[r["cell"]] = r["low"], r["high"]
+    return Cells(pivots, low, high), points.withColumn("cell", cell("r_point"))
+
+
+def swapped(a: Column, b: Column) -> Column:
+    """Whether two words of one length differ in two neighbouring letters that changed places."""
+    turn = lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))
+    return (F.length(a) == F.length(b)) & (F.length(a) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: turn(i) == b)
+
+
+def radius_join(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """All pairs of ``queries(point, ...)`` and ``points(r_point, ...)`` of one kind within RADIUS, exactly.
+
+    Queries are salted, so a cell that draws many is spread; the points are
+    the registry's.
+    """
+    cells, x = make_cells(points)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def to(p: pd.Series) -> pd.Series:
+        return pd.Series(cells.of(p.tolist(), RADIUS))
+
+    q = queries.withColumn("cell", F.explode(to("point"))).withColumn("salt", F.pmod(F.xxhash64("point"), F.lit(SALTS)).cast("int"))
     x = x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    j = q.join(x, ["cell", "kind", "salt"]).where((F.abs(F.col("far") - F.col("near")) <= radius) & (F.abs(F.length("point") - F.length("r_point")) <= radius))
-    return j.where(F.levenshtein("point", "r_point", radius).between(0, radius)).drop("cell", "salt", "far", "near")
+    j = q.join(x, ["cell", "kind", "salt"]).where(F.abs(F.length("point") - F.length("r_point")) <= RADIUS)
+    edits = F.levenshtein("point", "r_point", 2 * RADIUS)
+    return j.where(edits.between(0, RADIUS) | ((edits == 2) & swapped(F.col("point"), F.col("r_point")))).drop("cell", "salt")
 
 
-def link(citations: DataFrame, registry: DataFrame) -> DataFrame:
+def link(citations: DataFrame, registry: DataFrame, nicknames: Mapping[str, str | tuple[str, ...]] = NICKNAMES) -> DataFrame:
     """Distinct typed names with the registry entry each means: (name, author_id, tier).
 
     Names written exactly like a display_name mean that entry (tier -1).  Of
     the entries within the radius the best tier counts; if two entries share
     it the name means none of them.  Names of others come out with a NULL
     author_id, as do blank ones.  NULL elements are no names; empty tables
-    give no rows; further columns are ignored.
+    give no rows; further columns are ignored.  ``nicknames`` maps short forms
+    to given names, all in small letters without accents.
     """
+
+    @F.pandas_udf(T.IntegerType())
+    def _tier(kind: pd.Series, point: pd.Series, rest: pd.Series, r_point: pd.Series, r_rest: pd.Series) -> pd.Series:
+        return pd.Series([tier(k, p, list(a), q, list(b), nicknames) for k, p, a, q, b in zip(kind, point, rest, r_point, r_rest)], dtype="int32")
+
     names = citations.select(F.explode("authors").alias("name")).where("name is not null").distinct()
     exact = registry.where("display_name is not null").groupBy(F.col("display_name").alias("name")).agg(F.min("author_id").alias("same"))
     named = names.join(exact, "name", "left")
@@ -334,13 +396,13 @@ def link(citations: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def found(citations: DataFrame, registry: DataFrame) -> DataFrame:
+def found(citations: DataFrame, registry: DataFrame, nicknames: Mapping[str, str | tuple[str, ...]] = NICKNAMES) -> DataFrame:
     """(citation_id, author_pos, author_id): elements that mean an entry but are not written like its display_name.
 
     A name typed a third of the time is one row of ``link``; the expansion to
     its places is salted.
     """
-    linked = link(citations, registry).where("tier >= 0 and author_id is not null").select("name", "author_id")
+    linked = link(citations, registry, nicknames).where("tier >= 0 and author_id is not null").select("name", "author_id")
     places = citations.select("citation_id", F.posexplode("authors").alias("author_pos", "name")).withColumn("salt", F.pmod(F.xxhash64("citation_id"), F.lit(SALTS)).cast("int"))
     spread = linked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return places.join(spread, ["name", "salt"]).select("citation_id", "author_pos", "author_id").distinct()

@@ -41,14 +41,44 @@ def test_empty_and_null(spark):
 
 def test_radius_join_is_exact(spark):
     rnd = random.Random(7)
-    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 6)))
-    ps = sorted({word() for _ in range(60)})
-    qs = sorted({word() for _ in range(80)})
-    p = spark.createDataFrame([(i, "person", x, []) for i, x in enumerate(ps)], "author_id long, kind string, r_point string, r_rest array<string>")
-    q = spark.createDataFrame([(x, "person", x, []) for x in qs], "name string, kind string, point string, rest array<string>")
-    for radius in (1, 2):
-        got = {(r["point"], r["r_point"]) for r in names.radius_join(q, p, radius).collect()}
-        assert got == {(a, b) for a in qs for b in ps if names._lev(a, b) <= radius}
+    for letters, most, n in (("abc", 6, 60), ("abcdefghijklm", 9, 400)):
+        word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(0, most)))
+        ps = sorted({word() for _ in range(n)})
+        near = [x[:i] + x[i + 1 : i + 2] + x[i : i + 1] + x[i + 2 :] for x in ps[::3] for i in [rnd.randrange(len(x) + 1)]] + [x[:i] + "b" + x[i:] for x in ps[::4] for i in [rnd.randrange(len(x) + 1)]]
+        qs = sorted({word() for _ in range(80)} | {*near})
+        p = spark.createDataFrame([(i, "person", x, []) for i, x in enumerate(ps)], "author_id long, kind string, r_point string, r_rest array<string>")
+        q = spark.createDataFrame([(x, "person", x, []) for x in qs], "name string, kind string, point string, rest array<string>")
+        got = [(r["point"], r["r_point"]) for r in names.radius_join(q, p).collect()]
+        assert sorted(got) == [(a, b) for a in qs for b in ps if names.slip(a, b) <= 1]
+
+
+def test_bag_distance_is_a_metric_below_the_edits():
+    rnd = random.Random(5)
+    ws = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 6))) for _ in range(60)]
+    d = names.bag_distances(names.letters(ws), names.letters(ws))
+    assert (d == d.T).all() and (d.diagonal() == 0).all()
+    assert all(d[i, k] <= d[i, j] + d[j, k] for i in range(60) for j in range(60) for k in range(60))
+    assert all(d[i, j] <= 1 for i, a in enumerate(ws) for j, b in enumerate(ws) if names.slip(a, b) <= 1)
+
+
+def test_cells_prune(spark):
+    """A word is copied to few cells, which hold few of the points."""
+    rnd = random.Random(9)
+    syllables = [a + b + c for a in "bdklmnrstv" for b in "aeiou" for c in ("", "n", "r", "s")]
+    ps = sorted({"".join(rnd.sample(syllables, 3)) for _ in range(1200)})
+    cells, x = names.make_cells(spark.createDataFrame([(w,) for w in ps], "r_point string"))
+    size = {r["cell"]: r["count"] for r in x.groupBy("cell").count().collect()}
+    qs = ["".join(rnd.sample(syllables, 3)) for _ in range(500)]
+    to = cells.of(qs, names.RADIUS)
+    assert sum(map(len, to)) / len(qs) < 3 and sum(size.get(c, 0) for t in to for c in t) / len(qs) / len(ps) < 0.15
+
+
+def test_nicknames_are_a_parameter(spark):
+    r = spark.createDataFrame([(1, "person", "Aurelia", "Tarkovand", "Aurelia Tarkovand", ""), (2, "person", "Zebulon", "Ostergad", "Zebulon Ostergad", "")], REG)
+    c = spark.createDataFrame([(0, ["Lia Tarkovand", "Zeb Ostergad", "Rela Tarkovand"])], "citation_id long, authors array<string>")
+    got = lambda **kw: {x["name"]: x["author_id"] for x in names.link(c, r, **kw).collect()}
+    assert got() == {"Lia Tarkovand": None, "Zeb Ostergad": 2, "Rela Tarkovand": None}  # a beginning of a name needs no entry
+    assert got(nicknames={"lia": "aurelia", "rela": ("x", "aurelia")}) == {"Lia Tarkovand": 1, "Zeb Ostergad": 2, "Rela Tarkovand": 1}
 
 
 def test_slip():
