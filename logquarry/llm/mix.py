@@ -67,13 +67,17 @@ def exponent_for_limits(tokens: dict[str, int], base: dict[str, float], limits:
     return hi
 
 
-def plan(tokens: dict[str, int], base: dict[str, float], limits: dict[str, int], budget: float | None = None) -> dict[str, float]:
+def plan(tokens: dict[str, int], base: dict[str, float], limits: dict[str, int], budget: float | None = None, stretch: float = 1.0, target_entropy: float | None = None) -> dict[str, float]:
     """Tokens to take of each source.
 
-    Without a budget the mixture is the largest that meets the targets exactly
-    within the limits.  With one, the weights leave the targets only as far as
-    the limits force them to.  Sources without tokens or with a target of 0
-    get none, and the others keep their proportions.
+    Without a budget the mixture is ``stretch`` times the largest that meets
+    the targets exactly within the limits.  Beyond that size, or with a budget
+    beyond it, the exponent is bisected: the weights leave the targets only as
+    far as the limits force them to.  With ``target_entropy`` (nats) the
+    targets give way to the plain temperature rule, its exponent bisected to
+    that entropy; the mixture is the largest within the limits, or the budget.
+    Sources without tokens or with a target of 0 get none, and the others keep
+    their proportions.
     """
     live = {s: n for s, n in tokens.items() if n > 0 and base.get(s, 0) > 0 and limits.get(s, 0) > 0}
     base = {s: base[s] for s in live}
@@ -81,12 +85,15 @@ def plan(tokens: dict[str, int], base: dict[str, float], limits: dict[str, int],
     natural = {s: n / total for s, n in live.items()} if total else {}
     if not live:
         return {}
-    if budget is None:
-        w = weights(natural, base, 0.0)
-        size = min(limits[s] * live[s] / w[s] for s in live)
+    if target_entropy is not None:
+        base = dict.fromkeys(live, 1 / len(live))
+        w = weights(natural, base, exponent_for_entropy(natural, target_entropy))
     else:
-        w = weights(natural, base, exponent_for_limits(live, base, limits, budget))
-        size = budget
+        w = weights(natural, base, 0.0)
+    most = min(limits[s] * live[s] / w[s] for s in live)
+    size = budget if budget is not None else stretch * most
+    if target_entropy is None:
+        w = weights(natural, base, exponent_for_limits(live, base, limits, size))
     return {s: min(size * w[s], limits[s] * live[s]) for s in live}
 
 
@@ -98,7 +105,7 @@ def _counted(docs: DataFrame, targets: DataFrame, path: str) -> tuple[DataFrame,
     return durable(count_tokens(d, ["doc_id", "source"], path=path)), t
 
 
-def mixture(docs: DataFrame, targets: DataFrame, budget: float | None = None, path: str = TOKENIZER) -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, budget: float | None = None, path: str = TOKENIZER, stretch: float = 1.0, entropy_of_targets: bool = False) -> DataFrame:
     """(doc_id, source, pass, n_tokens, block, place): one row for each use of a document.
 
     Sorting by (block, place) gives the mixture: place runs evenly through a
@@ -106,12 +113,17 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: float | None = None, pa
     counts from 0 and stays below max_repeats.  Documents without a source,
     of sources that have no target, NULL and empty texts are not used; copies
     of a text are documents like others; repeated doc_ids count as documents;
-    further columns are ignored; an empty table gives no rows.
+    further columns are ignored; an empty table gives no rows.  ``budget`` and
+    ``stretch`` set the size, see ``plan``; ``entropy_of_targets`` mixes by
+    temperature to the entropy that the targets have.
     """
     counted, t = _counted(docs, targets, path)
     sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).join(t, "source").collect()
     by = {r["source"]: r for r in sums}
-    take = plan({s: r["tokens"] for s, r in by.items()}, {s: r["target_share"] or 0.0 for s, r in by.items()}, {s: r["max_repeats"] or 0 for s, r in by.items()}, budget)
+    share = {s: r["target_share"] or 0.0 for s, r in by.items()}
+    total = sum(share.values())
+    goal_entropy = entropy({s: x / total for s, x in share.items()}) if entropy_of_targets and total else None
+    take = plan({s: r["tokens"] for s, r in by.items()}, share, {s: r["max_repeats"] or 0 for s, r in by.items()}, budget, stretch, goal_entropy)
     spark = docs.sparkSession
     rows = [(s, int(v // by[s]["tokens"]), float(v - (v // by[s]["tokens"]) * by[s]["tokens"]), v / by[s]["tokens"], max(1, math.ceil(by[s]["docs"] / BUCKET_DOCS))) for s, v in sorted(take.items())]
     goal = F.broadcast(spark.createDataFrame(rows, "source string, whole int, part double, passes double, buckets int"))  # one row a source

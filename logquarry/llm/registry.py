@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "p7_usage": lambda s, d: pack.usage(pack.pack(load(s, d, "documents"))),
         "p8_mixture": lambda s, d: mix.mixture(load(s, d, "documents"), load(s, d, "mix_targets")),
         "p8_shares": lambda s, d: mix.shares(mix.mixture(load(s, d, "documents"), load(s, d, "mix_targets")), load(s, d, "mix_targets")),
+        "p8_entropy": lambda s, d: mix.shares(mix.mixture(load(s, d, "documents"), load(s, d, "mix_targets"), entropy_of_targets=True), load(s, d, "mix_targets")),
+        "p8_budget": lambda s, d: mix.shares(mix.mixture(load(s, d, "documents"), load(s, d, "mix_targets"), stretch=1.5), load(s, d, "mix_targets")),
         "p9_found": lambda s, d: split.found(load(s, d, "documents")),
         "p9_pieces": lambda s, d: split.split(load(s, d, "documents")),
     }

@@ -127,6 +127,11 @@ def test_exponents():
     assert 1000 * mix.weights(nat, even, a)["b"] == pytest.approx(200, rel=1e-6)
     assert mix.exponent_for_limits({"a": 900, "b": 100}, even, {"a": 2, "b": 9}, 1000) == 0.0
     assert mix.plan({"a": 900, "b": 100}, even, {"a": 1, "b": 4}) == pytest.approx({"a": 400, "b": 400})
+    more = mix.plan({"a": 900, "b": 100}, even, {"a": 1, "b": 4}, stretch=1.25)
+    assert sum(more.values()) == pytest.approx(1000) and more["b"] == pytest.approx(400, rel=1e-6)
+    heat = mix.plan({"a": 900, "b": 100}, even, {"a": 1, "b": 4}, target_entropy=0.6)
+    total = sum(heat.values())
+    assert mix.entropy({k: v / total for k, v in heat.items()}) == pytest.approx(0.6) and all(heat[k] <= n * 1.000001 for k, n in (("a", 900), ("b", 400)))
     assert mix.plan({"a": 0}, {"a": 1.0}, {"a": 3}) == {} and mix.plan({}, {}, {}) == {}
     assert mix.plan({"a": 10, "b": 10}, {"a": 0.7, "b": 0.0, "c": 0.3}, {"a": 2, "b": 2}) == pytest.approx({"a": 20})
 
@@ -151,4 +156,9 @@ def test_mixture(spark):
     assert 0.7 < halves[True] / halves[False] < 1.4
     big = mix.shares(mix.mixture(df, t, budget=s["b"]["n_tokens"] * 3), t).collect()
     assert all(r["most_passes"] <= {"a": 1, "b": 3, "c": 4}.get(r["source"], 0) for r in big)
+    even = mix.shares(mix.mixture(df, t, entropy_of_targets=True), t).collect()
+    got = {r["source"]: r["share"] for r in even if r["share"]}
+    assert set(got) == {"a", "b", "c"} and abs(mix.entropy(got) - mix.entropy({"a": 0.3, "b": 0.5, "c": 0.2})) < 0.02
+    wide = {r["source"]: r for r in mix.shares(mix.mixture(df, t, stretch=1.3), t).collect()}
+    assert sum(r["n_tokens"] for r in wide.values()) > sum(r["n_tokens"] for r in s.values()) and all(wide[k]["most_passes"] <= n for k, n in (("a", 1), ("b", 3), ("c", 4)))
     assert mix.mixture(df.limit(0), t).count() == 0 and mix.mixture(df, t.limit(0)).count() == 0
