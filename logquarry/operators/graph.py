@@ -40,7 +40,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
     return seen
 
 
-def bag_cosine_pairs(entities: DataFrame, threshold: float, common: int = 100_000) -> DataFrame:
+def bag_cosine_pairs(entities: DataFrame, threshold: float) -> DataFrame:
     """(a, b, cos): pairs of entities (id, words) with cosine of word counts >= threshold, a < b.
 
     An inverted index on prefixes: words are ordered by rarity, and a pair at
@@ -83,7 +83,7 @@ def greedy_align(nodes: DataFrame, pairs: DataFrame, rounds: int = 1000) -> Data
         ready = open_.join(waiting, "id", "left_anti")
         first = pairs.join(done.where("id = rep").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("r"))
         settled = durable(ready.join(first, "id", "left").select("id", F.coalesce("r", "id").alias("rep")))
-        done = durable(done.unionByName(settled))
+        done = done.unionByName(settled)  # each round is a table of its own
         open_ = durable(open_.join(settled.select("id"), "id", "left_anti"))
         if open_.isEmpty():
             return done.select("rep", F.col("id").alias("member"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from logquarry.functions import text as T
 from logquarry.session import durable
@@ -63,29 +64,38 @@ def best_by_tokens(left: DataFrame, right: DataFrame, k: int = 5, threshold: flo
     """(id, other, rank, f1): the k best right titles of each left title with a word F1 of ``threshold`` or more, exactly.
 
     left(id, title), right(other, title); without ``itself`` a row with
-    other = id takes none of the places.  Prefix filter: words are ordered by
-    rarity; sets with F1 >= t share t / (2 - t) of each one's words, so such a
-    pair meets in the first words of both, those that could be missing from
-    the shared rest.  The index holds these only, and the rarest words open
-    the pairs; no candidate is cut off.
+    other = id takes none of the places; ties go to the lower ``other``.
+    Titles of the same words are matched once, so a title that many rows carry
+    is one on either side, and of its rows only the k + 1 lowest can take a
+    place.  Prefix filter: words are ordered by rarity; sets with F1 >= t
+    share t / (2 - t) of each one's words, so such a pair meets in the first
+    words of both; a pair whose sizes, or whose words after the one they meet
+    in, cannot reach t goes no further.
     """
-    lw = durable(left.withColumn("w", F.array_distinct(T.meaningful(T.normalise_title(F.col("title"))))).where(F.size("w") > 0).select("id", "w"))
-    rw = durable(right.withColumn("w", F.array_distinct(T.meaningful(T.normalise_title(F.col("title"))))).where(F.size("w") > 0).select("other", "w"))
-    df = rw.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    bag = F.array_sort(F.array_distinct(T.meaningful(T.normalise_title(F.col("title")))))
+    lw = durable(left.withColumn("w", bag).where(F.size("w") > 0).select("id", "w", F.xxhash64("w").alias("lb")))
+    rw = right.withColumn("w", bag).where(F.size("w") > 0).select("other", "w")
+    lowest = durable(rw.withColumn("p", F.row_number().over(W.partitionBy("w").orderBy("other"))).where(F.col("p") <= k + 1).drop("p"))
+    bags = durable(lowest.groupBy("w").agg(F.array_sort(F.collect_list("other")).alias("others")).withColumn("rb", F.xxhash64("w")))
+    df = bags.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     share = threshold / (2 - threshold)
 
     def prefix(d: DataFrame, key: str) -> DataFrame:
-        e = d.select(key, F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word", "left")
-        z = e.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("z"))
+        e = d.select(key, "w", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word", "left")
+        z = e.groupBy(key, "w", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("z"))
         keep = (F.col("n") - F.ceil(share * F.col("n") - F.lit(1e-9)) + 1).cast("int")
-        return z.select(key, F.explode(F.transform(F.slice("z", F.lit(1), keep), lambda x: x.word)).alias("word"))
+        return z.select("w", "n", F.posexplode(F.transform(F.slice("z", F.lit(1), keep), lambda x: x.word)).alias("pos", "word"))
 
-    pairs = prefix(lw, "id").join(prefix(rw, "other"), "word").where(F.lit(itself) | (F.col("id") != F.col("other"))).select("id", "other").distinct()
-    both = pairs.join(lw.withColumnRenamed("w", "a"), "id").join(rw.withColumnRenamed("w", "b"), "other")
+    a = prefix(lw.select("lb", "w").distinct(), "lb").select("word", F.col("w").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    b = prefix(bags, "rb").select("word", F.col("w").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    need = F.lit(threshold / 2) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
+    pairs = a.join(b, "word").where((F.least("na", "nb") >= need) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need))
     f1 = 2 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))
-    both = both.withColumn("f1", F.round(f1, 6)).where(f1 >= threshold - 1e-12)
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("f1")).alias("o"), "other"))), 1, k)
-    return both.groupBy("id").agg(top.alias("z")).select("id", F.posexplode("z").alias("p", "z")).select("id", F.col("z.other").alias("other"), (F.col("p") + 1).alias("rank"), (-F.col("z.o")).alias("f1"))
+    both = pairs.withColumn("f1", f1).where(F.col("f1") >= threshold - 1e-12).select("a", "b", F.round("f1", 6).alias("f1")).distinct()
+    hit = lw.select("id", F.col("w").alias("a")).join(both, "a").join(bags.select(F.col("w").alias("b"), "others"), "b")
+    hit = hit.select("id", "f1", F.explode("others").alias("other")).where(F.lit(itself) | (F.col("id") != F.col("other")))
+    best = W.partitionBy("id").orderBy(F.col("f1").desc(), "other")
+    return hit.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "other", "rank", "f1")
 
 
 #: The mark of each status in a report.

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -33,25 +36,41 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where the session names none (tests, a laptop)."""
+    """Folder all executors share: ``spark.checkpoint.dir``.
+
+    Only a session on one machine (tests, a laptop) may name none; it gets a
+    temporary folder.  On a cluster a machine's own folder would lose rows, so
+    a session that names none is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     made = tempfile.mkdtemp(prefix="logquarry-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver delete a folder it wrote when it ends; until then readers may come back to it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Cuts the lineage and survives the loss of executors; unlike checkpoint
-    files the table is compressed, and readers prune its columns.
+    files the table is compressed, and readers prune its columns.  The table
+    is deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/logquarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
