@@ -340,14 +340,6 @@ def template_miner(s: SparkSession, d: str) -> DataFrame:
     return templates.mine(load(s, d, "log_lines"), "Logrecord", "LineId", "Content")
 
 
-@query()
-def canonical_works(s: SparkSession, d: str) -> DataFrame:
-    """One flat record a work: first title, DOI, number of authors, first date part."""
-    f = nested.works_flat(load(s, d, "api_responses"))
-    pick = lambda node: F.min(F.when(F.col("node") == node, F.struct("pos", "subpos", "value")))
-    return f.groupBy("response_id", "item_pos").agg(pick("title")["value"].alias("title"), pick("doi")["value"].alias("doi"), F.count_if(F.col("node") == "author").alias("n_authors"), pick("date_part")["value"].alias("indexed_year"))
-
-
 # ---- text and citations -----------------------------------------------------------------------
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -440,13 +432,6 @@ def works_containment_advisory(s: SparkSession, d: str) -> DataFrame:
     return match.containment_advisory(_works_compared(s, d)).select("response_id", "citation_id", "advisory")
 
 
-@query()
-def title_search(s: SparkSession, d: str) -> DataFrame:
-    """The five other citations that match each title whose citation_id is divisible by 20 best, at a word F1 of 0.70 or more."""
-    t = load(s, d, "citations").where("title is not null")
-    return match.best_by_tokens(t.where("citation_id % 20 = 0").select(F.col("citation_id").alias("id"), "title"), t.select(F.col("citation_id").alias("other"), "title"), itself=False)
-
-
 @query(r"""SELECT citation_id, nullif(regexp_replace(regexp_extract(raw, '10\.[0-9]+/[A-Za-z0-9._:;()/-]+'), '[.,;:)\]]+$', ''), '') AS doi,
 coalesce(nullif(regexp_extract(raw, '\(((?:18|19|20)[0-9]{2})[a-z]?\)', 1), ''), nullif(regexp_extract(raw, '(?:^|[^0-9A-Za-z.])((?:18|19|20)[0-9]{2})(?:[^0-9A-Za-z]|$)', 1), ''))::INT AS year,
 nullif(regexp_extract(raw, '(?:^|[^0-9./])([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?(?:[^0-9]|$)', 1), '') AS arxiv_id FROM citations""")
