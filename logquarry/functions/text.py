@@ -146,3 +146,16 @@ def sanitise(c: Column) -> Column:
     """Control characters and Markdown marks made harmless for a report."""
     c = F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1F\x7F]", " "), r"([\\`*_{}\[\]()#+!|<>~])", r"\\$1")
     return F.trim(F.regexp_replace(c, " +", " "))
+
+
+def percent_encode(c: Column) -> Column:
+    """Text as a part of an address: all but letters, digits and -._~ as percent signs and hexadecimal bytes."""
+    e = F.url_encode(c)  # a form's encoding: blanks as '+', '*' as it is, '~' encoded
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(e, r"\+", "%20"), r"\*", "%2A"), "%7E", "~")
+
+
+def merge_objects(a: Column, b: Column) -> Column:
+    """JSON object with the members of both, those of ``b`` counting where both have one; NULL if either is none."""
+    kind = "map<string, variant>"
+    both = F.map_concat(F.map_filter(F.from_json(a, kind), lambda k, _: ~F.array_contains(F.json_object_keys(b), k)), F.from_json(b, kind))
+    return F.to_json(both)

@@ -104,3 +104,28 @@ def prompt(df: DataFrame, summary: str, entities: str, scores: str | None = None
     if scores:
         parts += [F.lit("\nSimilarity: "), F.concat_ws(", ", F.transform(scores, lambda x: F.format_number(x, 4)))]
     return df.withColumn("prompt", F.concat(*parts, F.lit("\nAnswer with the root cause and with knowledge triples (head, relation, tail).")))
+
+
+def set_overlaps(entities: DataFrame) -> DataFrame:
+    """(a, b, shared, within, half): pairs of entities (id, words) that share words.
+
+    ``within``: all words of a are words of b; ``half``: they are half of b's
+    or more.  Words lead to the pairs, so entities without a word in common
+    are never compared.
+    """
+    e = entities.select("id", F.explode(F.array_distinct("words")).alias("w"))
+    n = entities.select("id", F.size(F.array_distinct("words")).alias("k"))
+    s = e.withColumnRenamed("id", "a").join(e.withColumnRenamed("id", "b"), "w").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    s = s.join(n.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(n.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    return s.select("a", "b", "shared", (F.col("shared") == F.col("ka")).alias("within"), (F.col("shared") >= 0.5 * F.col("kb")).alias("half"))
+
+
+def similarity_edges(together: DataFrame, entities: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, weight): pairs of ``together(a, b)``, a < b, whose word bags have a cosine over ``threshold``, with it as the weight."""
+    near = bag_cosine_pairs(entities, threshold).where(F.col("cos") > threshold + 1e-12)
+    return near.join(together.select("a", "b").distinct(), ["a", "b"]).select("a", "b", F.col("cos").alias("weight"))
+
+
+def direct(edges: DataFrame, node: str) -> DataFrame:
+    """(node, n): neighbours of a node in an undirected edge list (src, dst, n)."""
+    return edges.where((F.col("src") == node) | (F.col("dst") == node)).select(F.when(F.col("src") == node, F.col("dst")).otherwise(F.col("src")).alias("node"), "n")

@@ -114,13 +114,31 @@ def duplicate_keys(citations: DataFrame) -> DataFrame:
     return citations.groupBy(F.coalesce("doi", "raw").alias("key")).agg(F.count("*").alias("n")).where("n > 1 and key is not null")
 
 
-def report(verdicts: DataFrame, findings: int = 1000) -> str:
-    """Markdown of the status counts and the first findings by index; the list is cut at ``findings`` rows, the counts are not."""
-    lines = ["# Citation report", ""]
-    lines += [f"- {ICONS[r['status']]} {r['status']}: {r['n']}" for r in sorted(status_counts(verdicts).collect(), key=lambda r: list(ICONS).index(r["status"]))]
-    bad = verdicts.where(F.col("status").isin("METADATA_MISMATCH", "NOT_FOUND")).orderBy("index").limit(findings)
-    lines += ["", "## Findings", ""] + [f"- [{r['index']}] {ICONS[r['status']]} {r['short']}" for r in bad.select("index", "status", T.sanitise(F.substring("raw", 1, 100)).alias("short")).collect()]
-    return "\n".join(lines) + "\n"
+def findings(verdicts: DataFrame) -> DataFrame:
+    """(section, index, line): Markdown lines of verdicts (index, status, authors, year, title), all of them and the critical ones again."""
+    said = F.concat_ws(" ", F.coalesce(F.get("authors", F.lit(0)), F.lit("")), F.coalesce(F.col("year").cast("string"), F.lit("")), F.coalesce("title", F.lit("")))
+    icon = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in ICONS.items()])
+    line = F.concat(icon, F.lit(" **["), "status", F.lit("]** "), F.col("index").cast("string"), F.lit(" -- "), F.substring(T.sanitise(said), 1, 100))
+    critical = F.col("status").isin("METADATA_MISMATCH", "NOT_FOUND")
+    d = verdicts.select("index", line.alias("line"), F.explode(F.when(critical, F.array(F.lit("critical"), F.lit("all"))).otherwise(F.array(F.lit("all")))).alias("section"))
+    return d.select("section", "index", "line")
+
+
+def report(verdicts: DataFrame, shown: int = 1000) -> str:
+    """Markdown: counts by status, keys that occur twice, critical findings and all findings by index.
+
+    verdicts(index, status, raw, doi, authors, year, title).  Each list is cut
+    at ``shown`` rows, as a report is read by people; the counts are not.
+    """
+    n = {r["status"]: r["n"] for r in status_counts(verdicts).collect()}
+    out = ["# Citation report", "", f"Citations checked: {sum(n.values())}", *(f"- {icon} {status}: {n[status]}" for status, icon in ICONS.items()), ""]
+    if twice := duplicate_keys(verdicts).orderBy("key").limit(shown).select(T.sanitise(F.col("key")).alias("key"), "n").collect():
+        out += ["## Duplicate entries", "", *(f"- {r['key']}: {r['n']} times" for r in twice), ""]
+    lines = findings(verdicts)
+    for section, head in (("critical", "## Critical issues"), ("all", "## All findings")):
+        if rows := lines.where(F.col("section") == section).orderBy("index").limit(shown).collect():
+            out += [head, "", *(f"- {r['line']}" for r in rows), ""]
+    return "\n".join(out)
 
 
 def failed(verdicts: DataFrame) -> bool:

@@ -51,10 +51,18 @@ def losses(df: DataFrame, error: Column, delta: float = 1.0) -> DataFrame:
     return df.agg(F.round(F.avg(error * error), 6).alias("mse"), F.round(F.avg(F.when(e < delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta))), 6).alias("huber"), F.round(F.avg(logcosh), 6).alias("logcosh"))
 
 
-def focal_loss(df: DataFrame, logits: str, label: str, gamma: float = 2.0, alpha: float | None = None) -> DataFrame:
-    """(.., focal): -w (1 - p)^gamma log p of the labelled class; alpha weighs class 0, 1 - alpha the others."""
+def focal_loss(df: DataFrame, logits: str, label: str, gamma: float = 2.0, alpha: float | list[float] | None = None) -> DataFrame:
+    """(.., focal): -w (1 - p)^gamma log p of the labelled class; alpha weighs class 0 and 1 - alpha the others, or is a weight for each class."""
     top = F.array_max(logits)
     norm = F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x)) + top
     logp = F.get(logits, F.col(label)) - norm
-    w = F.lit(1.0) if alpha is None else F.when(F.col(label) == 0, alpha).otherwise(1 - alpha)
+    if isinstance(alpha, list):
+        w = F.get(F.array(*[F.lit(float(a)) for a in alpha]), F.col(label))
+    else:
+        w = F.lit(1.0) if alpha is None else F.when(F.col(label) == 0, alpha).otherwise(1 - alpha)
     return df.withColumn("focal", -w * F.pow(1 - F.exp(logp), gamma) * logp)
+
+
+def bundle(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """One row: macro precision, recall and F1, and accuracy."""
+    return macro_prf(df, truth, guess).withColumn("accuracy", accuracy(df, truth, guess).scalar())

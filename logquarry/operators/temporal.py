@@ -55,3 +55,9 @@ def conflicts(events: DataFrame, entity: str, ts: str, kind: str, width: str = "
 def last_n(events: DataFrame, order: list[str], n: int) -> DataFrame:
     """The last ``n`` rows, as a ring buffer of that capacity would hold them (a top-k, not a sort of all)."""
     return events.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+
+
+def sliding_counts(events: DataFrame, ts: str, kind: str, width: str, slide: str) -> DataFrame:
+    """(start, kind, n): counts in windows of ``width``, a new one every ``slide``."""
+    w = events.groupBy(F.window(F.col(ts).cast("timestamp"), width, slide).alias("w"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+    return w.select(F.col("w.start").alias("start"), "kind", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.session import durable
@@ -47,3 +47,13 @@ def flag_sessions(items: DataFrame, by: str, order: list[str], state: str, q: Da
     f = finals.select(F.col("final_state").alias("last"), F.lit(True).alias("known"))
     g = g.join(f, "last", "left")
     return g.select(by, (F.col("lows") - F.col("last_low") > 0).alias("low_event"), F.col("known").isNull().alias("bad_end"), ((F.col("lows") - F.col("last_low") > 0) | F.col("known").isNull()).alias("flagged"))
+
+
+def save_values(q: DataFrame, path: str) -> None:
+    """Writes a table of values (state, q)."""
+    q.select("state", "q").write.mode("overwrite").parquet(path)
+
+
+def load_values(spark: SparkSession, path: str) -> DataFrame:
+    """Values written before, to go on from."""
+    return spark.read.parquet(path).select("state", "q")

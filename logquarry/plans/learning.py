@@ -26,15 +26,16 @@ def clusters(vectors: DataFrame, vec: str, k: int, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="cluster").fit(d).transform(d).drop("_f")
 
 
-def hashed_vector(text: str, dims: int = 64):
-    """Column: counts of a text's words in ``dims`` hash buckets."""
-    b = F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
+def hashed_vectors(docs: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
+    """(key, bucket, n): counts of a text's words in ``dims`` hash buckets, the buckets that are not empty: a vector in its sparse form."""
+    words = docs.select(key, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+")).alias("w")).where("w <> ''")
+    bucket = F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("bigint") % dims
+    return words.groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def entities(docs: DataFrame, text: str, least: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``entities``: distinct dotted, dashed or numbered names in a text."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Za-z][A-Za-z0-9]*(?:[._-][A-Za-z0-9]+)+)\b"), F.lit(1)))
+    """Adds ``entities``: distinct dotted, dashed or numbered names in a text; letters outside ASCII beside a name are no part of it."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z][A-Za-z0-9]*(?:[._-][A-Za-z0-9]+)+)(?![A-Za-z0-9_])"), F.lit(1)))
     return docs.withColumn("entities", F.filter(found, lambda x: (F.length(x) >= least) & ~x.isin(*stop) if stop else F.length(x) >= least))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logquarry.operators import logparse, nested
-from logquarry.plans import catalog, lookups, nested_sql  # noqa: F401  lookups adds its queries to the catalogue
+from logquarry.plans import catalog, coverage, lookups, nested_sql  # noqa: F401  coverage and lookups add their queries to the catalogue
 from logquarry.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]

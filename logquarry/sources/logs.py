@@ -85,9 +85,17 @@ def scan_sessions(spark: SparkSession, path: str) -> DataFrame:
     return d.select("line_no", F.transform(F.split(F.trim("value"), " +"), lambda x: x.cast("int")).alias("event_ids"))
 
 
-def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header; empty strings stay '' instead of NULL."""
-    d = spark.read.csv(path, header=True, schema=schema)
+#: How CSV files are written and read: blanks kept, quotes doubled.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def scan_csv(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:
+    """CSV with a header; empty strings stay '' instead of NULL.
+
+    With ``lines`` a record is a line and large files are read by many tasks;
+    without, fields may hold line breaks and a file is read by one.
+    """
+    d = spark.read.csv(path, schema=schema, multiLine=not lines, **CSV)
     return d.na.fill("", [f.name for f in d.schema if isinstance(f.dataType, T.StringType)])
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.operators.sessions import session_text
+from logquarry.sources.logs import CSV
 
 
 def write_structured(structured: DataFrame, templates: DataFrame, path: str) -> None:
     """Structured log and template dictionary as CSV with headers; arrays become JSON."""
     flat = lambda d: d.select(*[F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in d.dtypes])
-    flat(structured).write.mode("overwrite").csv(f"{path}/structured", header=True)
-    flat(templates).write.mode("overwrite").csv(f"{path}/templates", header=True)
+    flat(structured).write.mode("overwrite").csv(f"{path}/structured", **CSV)
+    flat(templates).write.mode("overwrite").csv(f"{path}/templates", **CSV)
 
 
 def write_splits(sessions: DataFrame, path: str) -> None:
@@ -26,7 +29,9 @@ def write_session_text(sessions: DataFrame, ids: str, path: str) -> None:
 
 
 def write_json(d: DataFrame, path: str, append: bool = False) -> None:
-    """JSON lines; null fields are left out."""
+    """JSON lines; null fields are left out.  A link in place of a local path is refused."""
+    if os.path.islink(path.removeprefix("file:")):
+        raise ValueError(f"{path} is a link")
     d.write.mode("append" if append else "overwrite").option("ignoreNullFields", "true").json(path)
 
 
@@ -36,10 +41,10 @@ def write_edges(edges: DataFrame, path: str) -> None:
     edges.select(F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), w).alias("value")).write.mode("overwrite").text(path)
 
 
-def audit_rows(verdicts: DataFrame) -> DataFrame:
-    """(timestamp, citation_hash, status, lookup_mode) for the audit log."""
+def audit_rows(verdicts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(*keep, timestamp, citation_hash, status, lookup_mode) for the audit log."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return verdicts.select(now.alias("timestamp"), F.concat(F.lit("sha256:"), F.sha2("raw", 256)).alias("citation_hash"), "status", "lookup_mode")
+    return verdicts.select(*(keep or []), now.alias("timestamp"), F.concat(F.lit("sha256:"), F.sha2("raw", 256)).alias("citation_hash"), "status", "lookup_mode")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

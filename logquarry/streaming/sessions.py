@@ -28,15 +28,13 @@ def windowed_counts(stream: DataFrame, ts: str, kind: str, width: str = "1 hour"
 
 def gap_sessions(stream: DataFrame, ts: str, entity: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """(entity, start, end, n) of sessions that a gap ends."""
-    d = stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
+    d = stream.withColumn("_t", F.col(ts).cast("timestamp"))
+    d = d.withWatermark("_t", late) if stream.isStreaming else d
     return d.groupBy(F.session_window("_t", gap).alias("w"), F.col(entity).alias("entity")).agg(F.count("*").alias("n")).select("entity", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def count_sessions(stream: DataFrame, entity: str, order: str, size: int = 20) -> DataFrame:
-    """(entity, session, rows): a row for every full session of ``size`` rows of an entity.
-
-    State per entity: rows seen and the session's first order key.
-    """
+    """(entity, session, rows): a row for every full session of ``size`` rows of an entity; the state of an entity is its rows seen."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
@@ -65,9 +63,19 @@ def mine_stream(stream: DataFrame, group: str, order: str, text: str, tau: float
     return d.groupBy("g").applyInPandasWithState(step, "g string, o bigint, template string", "templates array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_edges(batch: DataFrame, path: str) -> None:
-    """``foreachBatch`` step of a self-maintaining edge table: appends partial counts, which readers sum."""
-    batch.write.mode("append").parquet(path)
+def keep_edges(edges: DataFrame, path: str) -> DataFrame:
+    """(src, dst, n): a stream of (src, dst) as an edge table with weights, over what there is.
+
+    Each batch writes its partial counts under its own number, so a batch that
+    is delivered again replaces itself; readers add the batches up.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.groupBy("src", "dst").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+
+    q = edges.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(upsert).start()
+    q.awaitTermination()
+    return edges.sparkSession.read.parquet(f"{path}/edges").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def run_to_end(out: DataFrame, mode: str = "append") -> DataFrame:

@@ -103,9 +103,11 @@ def test_citation_text(spark):
 
 
 def test_status_report_and_sibling(spark):
-    v = spark.createDataFrame([(1, "VERIFIED", "a"), (2, "NOT_FOUND", "b *x*"), (3, "NOT_FOUND", "c")], "index int, status string, raw string")
+    rows = [(1, "VERIFIED", "a", None, ["Card, D."], 2001, "T"), (2, "NOT_FOUND", "b", None, None, None, "b *x*"), (3, "NOT_FOUND", "b", None, [], None, None)]
+    v = spark.createDataFrame(rows, "index int, status string, raw string, doi string, authors array<string>, year int, title string")
     text = match.report(v)
-    assert "[X] NOT_FOUND: 2" in text and "[!] METADATA_MISMATCH: 0" in text and r"\*x\*" in text
+    assert "[X] NOT_FOUND: 2" in text and "[!] METADATA_MISMATCH: 0" in text and r"\*x\*" in text and "b: 2 times" in text
+    assert text.index("## Critical issues") < text.index("## All findings") and text.count("**[NOT_FOUND]**") == 4 and text.count("Card, D. 2001 T") == 1
     assert match.failed(v) and not match.failed(v.where("index = 1"))
     d = spark.sql("""SELECT named_struct('type', 'book-chapter', 'doi', 'd', 'title', 't') top, array(named_struct('type', 'book', 'doi', 'e', 'title', 't', 'first_author', 'David Card', 'f1', 0.9D)) siblings, 'Card, David' first_author""")
     assert match.book_sibling(d).first()["sibling"]["doi"] == "e"
@@ -280,3 +282,37 @@ def test_small_operators(spark):
     w = spark.range(1).select(small.weighted_score(*[F.lit(x) for x in (1.0, 1.0, 1.0, 1.0, 1.0)])).first()[0]
     assert w == pytest.approx(0.8)
     assert small.line_stats(spark.createDataFrame([("a b\nccc",), (None,)], "t string"), "t").first() == (2, 3, 3)
+
+
+def test_lookup_by_identifier_then_title(spark):
+    import json
+
+    from logquarry.operators import records
+
+    works = [{"DOI": "10.1/AB", "title": ["Deep Sparse Graph Search"], "type": "book-chapter", "author": [{"family": "Card"}]}, None, {"title": "Deep Sparse Graph Search Again", "type": "book", "author": {"name": "David Card"}, "issued": {"date-parts": [[2020, 1]]}}]
+    api = spark.createDataFrame([(1, 200, json.dumps({"message": {"items": works}})), (2, 200, json.dumps({"message": {"DOI": "10.3386/w123", "title": [], "created": {"date-parts": 1999}}})), (3, 404, "{}"), (4, 200, None)], "response_id long, status_code int, body string")
+    r = records.records(api)
+    assert sorted((x["response_id"], x["item_pos"], x["doi"], x["title"], x["year"], x["n_authors"], x["first_author"]) for x in r.collect()) == [
+        (1, 0, "10.1/AB", "Deep Sparse Graph Search", None, 1, "Card"), (1, 2, None, "Deep Sparse Graph Search Again", 2020, 1, "David Card"), (2, 0, "10.3386/w123", None, 1999, 0, None),
+    ]
+    c = spark.createDataFrame([(10, "10.1/ab", None, "x", ["David Card"]), (11, None, "w123", "y", None), (12, "10.9/none", None, "deep sparse graph search", ["Card, D."]), (13, None, None, None, []), (14, "", "", "nothing like it", None)], "citation_id long, doi string, nber_number string, title string, authors array<string>")
+    got = sorted((x["citation_id"], x["how"], x["rank"], x["response_id"], x["item_pos"]) for x in records.exact_then_fuzzy(c, r).collect())
+    assert got == [(10, "doi", 1, 1, 0), (11, "nber", 1, 2, 0), (12, "search", 1, 1, 0), (12, "search", 2, 1, 2)]
+    looked = spark.createDataFrame([(12, 1), (10, 1)], "citation_id long, response_id long")
+    assert [(x["citation_id"], x["item_pos"]) for x in records.siblings(c, looked, r).collect()] == [(12, 2)]
+    assert records.records(api.limit(0)).count() == 0 and records.by_identifier(c, r.limit(0)).where("response_id is not null").count() == 0
+
+
+def test_titles_that_many_rows_carry(spark):
+    rows = [(i, "deep sparse graph search") for i in range(600)] + [(600, "deep sparse graph"), (601, None), (602, "")]
+    df = spark.createDataFrame(rows, "other long, title string")
+    got = match.best_by_tokens(df.where("other in (0, 599, 600)").withColumnRenamed("other", "id"), df, itself=False).collect()
+    by = {q: sorted((r["rank"], r["other"]) for r in got if r["id"] == q) for q in (0, 599, 600)}
+    assert by[0] == [(i, i) for i in range(1, 6)] and by[599] == [(i + 1, i) for i in range(5)] and by[600] == [(i + 1, i) for i in range(5)]
+
+
+def test_small_text_operators(spark):
+    from logquarry.functions import text as T
+
+    assert one(spark, T.percent_encode(F.col("x")), x="a b*~/é+") == "a%20b%2A~%2F%C3%A9%2B"
+    assert one(spark, T.merge_objects(F.col("a"), F.col("b")), a='{"k": 1, "x": [1]}', b='{"k": "v"}') in ('{"x":[1],"k":"v"}', '{"k":"v","x":[1]}')

@@ -83,3 +83,60 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(r["session"] for r in got) == [0, 1]
     mined = streaming.run_to_end(streaming.mine_stream(st, "g", "o", "t"))
     assert mined.count() == 45 and mined.where("o > 0").select("template").distinct().count() == 1
+
+
+def test_streams_sessions_and_edges(spark, tmp_path):
+    from logquarry.streaming import sessions as streaming
+
+    rows = [(1, "a", "2025-01-01 00:00:00"), (1, "b", "2025-01-01 00:20:00"), (1, "a", "2025-01-01 02:00:00"), (2, "a", "2025-01-01 05:00:00"), (2, "a", "2025-01-02 05:00:00")]
+    df = spark.createDataFrame(rows, "u long, k string, t string").selectExpr("u", "k", "cast(t as timestamp) t")
+    df.orderBy("t").coalesce(1).write.parquet(str(tmp_path / "in"))
+    batch = sorted((r["entity"], r["n"]) for r in streaming.gap_sessions(df, "t", "u").collect())
+    assert batch == [(1, 1), (1, 2), (2, 1), (2, 1)]
+    st = streaming.event_stream(spark, str(tmp_path / "in"), df.schema)
+    got = sorted((r["entity"], r["n"]) for r in streaming.run_to_end(streaming.gap_sessions(st, "t", "u")).collect())
+    assert got == [(1, 1), (1, 2), (2, 1)]  # the last one may still go on
+    edges = streaming.keep_edges(streaming.event_stream(spark, str(tmp_path / "in"), df.schema).selectExpr("cast(u as string) src", "k dst"), str(tmp_path / "out"))
+    assert sorted(map(tuple, edges.collect())) == [("1", "a", 2), ("1", "b", 1), ("2", "a", 2)]
+    again = streaming.keep_edges(streaming.event_stream(spark, str(tmp_path / "in"), df.schema).selectExpr("cast(u as string) src", "k dst"), str(tmp_path / "out"))
+    assert again.count() == 3
+
+
+def test_mining_a_stream(spark, tmp_path):
+    from logquarry.streaming import sessions as streaming
+
+    df = spark.createDataFrame([("f", i, f"lease {'xyz'[i % 3]}{i} lost now") for i in range(6)] + [("f", 6, None)], "g string, o long, t string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    st = streaming.event_stream(spark, str(tmp_path / "in"), df.schema)
+    got = {r["o"]: r["template"] for r in streaming.run_to_end(streaming.mine_stream(st, "g", "o", "t")).collect()}
+    assert len(got) == 7 and got[5] == "lease <*> lost now" and got[6] == "<empty>"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from logquarry.__main__ import main
+
+    assert main(["list"]) == 0 and "event_transitions" in capsys.readouterr().out
+    assert main(["run", "nothing", "--data", "x"]) == 1
+    assert main(["run", "markdown_rows", "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "o"), "--format", "csv"]) == 0
+    assert logs.scan_csv(spark, str(tmp_path / "o"), "no string, name string, region string").count() == 25
+
+
+def test_links_and_clusters_are_refused(spark, tmp_path):
+    import types
+
+    import pytest
+
+    from logquarry import session
+    from logquarry.sources import sinks
+
+    (tmp_path / "real").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "real")
+    with pytest.raises(ValueError):
+        sinks.write_json(spark.range(1), str(tmp_path / "link"))
+    jsc = types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: types.SimpleNamespace(isDefined=lambda: False)))
+    fake = types.SimpleNamespace(conf={}, sparkContext=types.SimpleNamespace(_jsc=jsc, master="spark://host:7077"))
+    fake.conf = types.SimpleNamespace(get=lambda k, v: v)
+    with pytest.raises(RuntimeError):
+        session.shared_dir(fake)
+    fake.conf = types.SimpleNamespace(get=lambda k, v: "hdfs:///shared")
+    assert session.shared_dir(fake) == "hdfs:///shared"
