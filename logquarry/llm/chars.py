@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.plans.nested_sql import titles_sql
+from logquarry.plans.nested_sql import _els, _full, works_sql
 from logquarry.session import durable
 
 #: Letters of other scripts drawn like Latin ones.
@@ -104,7 +104,7 @@ def canonicalise(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
         try:
             for b in batches:
                 t = pa.table({"i": pa.array(range(b.num_rows), pa.int64()), "s": b.column(at)})  # noqa: F841
-                got = con.execute(f"SELECT i, {canonical_sql()} AS c FROM t ORDER BY i").to_arrow_table()
+                got = con.sql(f"SELECT i, {canonical_sql()} AS c FROM t ORDER BY i").to_arrow_table()
                 c = got.column("c").combine_chunks().cast(pa.string())
                 c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
                 yield pa.RecordBatch.from_arrays([*b.columns, c], names=[*b.schema.names, out])
@@ -114,6 +114,12 @@ def canonicalise(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def titles_sql() -> str:
+    """CTEs ending in ``it(response_id, item_pos, title)``."""
+    titles = f"SELECT response_id, item_pos, unnest({_els('t')}) AS x FROM tj WHERE {_full('t')}"
+    return f"{works_sql()}, tj AS (SELECT response_id, item_pos, json_extract(w, '$.title') AS t FROM wk), it AS (SELECT DISTINCT response_id, item_pos, json_extract_string(x, '$') AS title FROM ({titles}) WHERE json_type(x) = 'VARCHAR')"
+
+
 def titles_of_items(api: DataFrame) -> DataFrame:
     """(response_id, item_pos, title) of every title of every work, read by DuckDB inside the Arrow partitions.
 
@@ -128,7 +134,7 @@ def titles_of_items(api: DataFrame) -> DataFrame:
         try:
             for b in batches:
                 con.register("api_responses", pa.Table.from_batches([b]))
-                got = con.execute(f"WITH {titles_sql()} SELECT response_id, item_pos::BIGINT AS item_pos, title FROM it").to_arrow_table()
+                got = con.sql(f"WITH {titles_sql()} SELECT response_id, item_pos::BIGINT AS item_pos, title FROM it").to_arrow_table()
                 con.unregister("api_responses")
                 yield from got.cast(pa.schema([("response_id", pa.int64()), ("item_pos", pa.int64()), ("title", pa.string())])).combine_chunks().to_batches()
         finally:
@@ -142,8 +148,8 @@ def found(citations: DataFrame, api: DataFrame) -> DataFrame:
 
     Distinct titles are canonicalised once and joined in one form; the
     expansion to citations and to items comes last.  A title that a third of
-    all rows carry is one row in the first join; in the expansion its rows are
-    spread by a salt, the other side being one row for each pair of titles.
+    all rows carry is one row in the first join; in both expansions its rows
+    are spread by a salt, the other side being copied to every salt.
     """
     c = citations.where("title is not null").select(F.col("title").alias("ct"), "citation_id")
     i = durable(titles_of_items(api))  # read twice
@@ -153,4 +159,6 @@ def found(citations: DataFrame, api: DataFrame) -> DataFrame:
     salts = 8
     spread = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = spread.join(c.withColumn("salt", F.pmod(F.xxhash64("citation_id"), F.lit(salts)).cast("int")), ["ct", "salt"]).select("it", "citation_id")
-    return left.join(i.withColumnRenamed("title", "it"), "it").select("citation_id", "response_id", "item_pos").distinct()
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    items = i.withColumnRenamed("title", "it").withColumn("salt", F.pmod(F.xxhash64("response_id", "item_pos"), F.lit(salts)).cast("int"))
+    return left.join(items, ["it", "salt"]).select("citation_id", "response_id", "item_pos").distinct()
