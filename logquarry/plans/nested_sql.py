@@ -43,11 +43,6 @@ UNION ALL SELECT response_id, item_pos, 'affiliation', pos, subpos{v('x')} FROM
 UNION ALL SELECT response_id, item_pos, 'date_part', pos, subpos{v('y')} FROM di WHERE {_full('y')}"""
 
 
-def titles_sql() -> str:
-    """CTEs ending in ``it(response_id, item_pos, title)``."""
-    return f"""{works_sql()}, tj AS (SELECT response_id, item_pos, json_extract(w, '$.title') AS t FROM wk), it AS (SELECT DISTINCT response_id, item_pos, json_extract_string(x, '$') AS title FROM (SELECT response_id, item_pos, unnest({_els('t')}) AS x FROM tj WHERE {_full('t')}) WHERE json_type(x) = 'VARCHAR')"""
-
-
 def first_titles_sql() -> str:
     """CTEs ending in ``ft(response_id, title)``: first title of the first work."""
     return f"""{works_sql()}, fw AS (SELECT response_id, json_extract(arg_min(w, item_pos), '$.title') AS t FROM wk GROUP BY response_id), fl AS (SELECT response_id, list_filter({_els('t')}, lambda x: json_type(x) = 'VARCHAR' AND json_extract_string(x, '$') <> '') AS l FROM fw WHERE t IS NOT NULL), ft AS (SELECT response_id, json_extract_string(l[1], '$') AS title FROM fl WHERE len(l) > 0)"""
