@@ -1,13 +1,18 @@
 """Problem 7: documents into containers of fixed capacity, each whole in one container.
 
-Lexical retrieval packing: rows are taken in shards as they lie in the input's
-partitions - nothing is shuffled.  Each shard has a BM25 inverted index; the
-largest unused document seeds a container, and its best-scoring unused
-neighbours that still fit fill it, the tightest fit closing it.
+Lexical retrieval packing: documents are routed to shards by their words, so
+that related ones meet.  Centroids of hashed words are fitted on a bounded
+sample and put in a chain of neighbours; a document's place is its centroid's
+stretch of the chain and, in it, a hash; shards are equal pieces of the chain.
+Each shard is one partition and has a BM25 inverted index; the largest unused
+document seeds a container, and its best-scoring unused neighbours that still
+fit fill it, the tightest fit closing it.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,8 +24,10 @@ from pyspark.sql import functions as F
 from logquarry.llm.tokens import TOKENIZER, Tokens, tokens
 
 CAPACITY = 2048
-#: Documents of one shard; the index of a shard is the most a task holds.
-SHARD_DOCS, SHARD_CHARS = 2048, 32_000_000
+#: Documents of a shard on average; a task holds the index of twice as many, or of so many characters, at most.
+SHARD_DOCS, SHARD_CHARS = 4096, 64_000_000
+#: Documents the centroids are fitted on, centroids, and classes of words.
+FIT_DOCS, CENTROIDS, CLASSES = 2_000, 128, 256
 #: BM25.
 K1, B = 1.2, 0.75
 #: The room at and under which the tightest fit is taken instead of the next neighbour, as a share of the capacity.
@@ -30,6 +37,71 @@ _FIELDS = [("container", pa.int64()), ("doc_id", pa.int64()), ("segment", pa.int
 SCHEMA = "container bigint, doc_id bigint, segment int, start_token bigint, n_tokens int, place int, score double"
 
 
+class _Terms(dict):
+    """Term of a blank-separated part: its letters and digits in small letters, '' if it has none."""
+
+    def __missing__(self, part: str) -> str:
+        t = re.sub(r"[\W_]+", "", part.lower())
+        if len(self) >= 400_000:
+            self.clear()
+        if len(part) <= 48:
+            self[part] = t
+        return t
+
+
+_terms = _Terms()
+
+
+def terms_of(parts: list[str]) -> Counter:
+    """Bag of the terms of a text's parts."""
+    bag = Counter(map(_terms.__getitem__, parts))
+    bag.pop("", None)
+    return bag
+
+
+def features(texts: list[str]) -> np.ndarray:
+    """Log counts of words in hash classes, a row a text."""
+    out = np.zeros((len(texts), CLASSES))
+    for i, text in enumerate(texts):
+        for w, n in terms_of(text.split(" ")).items():
+            if not w[0].isdigit():
+                out[i, zlib.crc32(w.encode()) % CLASSES] += 1 + np.log(n)
+    return out
+
+
+class Router:
+    """Centroids in a chain, with the share of the documents before and in each."""
+
+    def __init__(self, sample: np.ndarray, seed: int = 42) -> None:
+        self.idf = np.log((1 + len(sample)) / (1 + (sample > 0).sum(0)))
+        x = self._unit(sample * self.idf)
+        k = max(1, min(CENTROIDS, len(x) // 8))
+        rng = np.random.default_rng(seed)
+        c = x[rng.choice(len(x), k, replace=False)] if len(x) else np.zeros((1, CLASSES))
+        for _ in range(12 if len(x) else 0):
+            near = (x @ c.T).argmax(1)
+            c = self._unit(np.stack([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)]))
+        chain = [int((c @ c.mean(0)).argmin())]
+        while len(chain) < k:  # the next one is the nearest not yet in the chain
+            last = c @ c[chain[-1]]
+            last[chain] = -np.inf
+            chain.append(int(last.argmax()))
+        self.centroids = c[chain]
+        n = np.bincount((x @ self.centroids.T).argmax(1), minlength=k) + 0.5 if len(x) else np.ones(1)
+        self.share = n / n.sum()
+        self.before = np.concatenate([[0.0], np.cumsum(self.share)[:-1]])
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+    def places(self, texts: list[str], salts: np.ndarray) -> np.ndarray:
+        """Place of each text in the chain, 0 to 1; salts in [0, 1) spread the texts of one centroid over its stretch."""
+        near = (self._unit(features(texts) * self.idf) @ self.centroids.T).argmax(1)
+        return self.before[near] + salts * self.share[near]
+
+
 class Index:
     """BM25 inverted index of one shard."""
 
@@ -107,7 +179,7 @@ def _pack_shard(ids: list, texts: list[str], t: Tokens, capacity: int) -> pa.Rec
         elif n == capacity:
             whole, rest = 0, n
         if rest:
-            bags.append(Counter(parts))
+            bags.append(terms_of(parts))
             sizes.append(rest)
             items.append((doc, whole, whole * capacity, rest))
     boxes = [[r] for r in rows]
@@ -129,7 +201,30 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER) -> Da
     number unique over the input.  NULL and empty texts have no tokens and no
     row; copies of a text are documents like others; repeated doc_ids are
     packed each; further columns are ignored; an empty table gives no rows.
+    The centroids are fitted on about FIT_DOCS documents in hash order; all
+    documents are routed, and moved once.
     """
+    d = docs.where("text <> ''").select(F.col("doc_id").cast("bigint"), "text")
+    n = max(docs.count(), 1)
+    salt = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 1) / F.lit(float(2**63))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(features(b.column(0).to_pylist()).tolist(), pa.list_(pa.float64()))], names=["v"])
+
+    sample = d.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, FIT_DOCS / n))).select("text").mapInArrow(vectors, "v array<double>")
+    fitted = sorted(r["v"] for r in sample.limit(4 * FIT_DOCS).collect())  # in an order of its own, so the fit is the same on every run
+    router = Router(np.array(fitted) if fitted else np.zeros((0, CLASSES)))
+    shards = -(-n // SHARD_DOCS)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = router.places(b.column(1).to_pylist(), b.column(2).to_numpy())
+                shard = np.minimum((at * shards).astype(np.int32), shards - 1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shard)], names=["doc_id", "text", "shard"])
+
+    routed = d.withColumn("salt", salt).mapInArrow(route, "doc_id bigint, text string, shard int").repartitionById(shards, "shard").sortWithinPartitions("doc_id", "text").drop("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,12 +251,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER) -> Da
                 ids.append(doc)
                 texts.append(text)
                 chars += len(text)
-                if len(ids) >= SHARD_DOCS or chars >= SHARD_CHARS:
+                if len(ids) >= 2 * SHARD_DOCS or chars >= SHARD_CHARS:
                     yield flush()
         if ids:
             yield flush()
 
-    return docs.where("text <> ''").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA)
+    return routed.mapInArrow(run, SCHEMA)
 
 
 def usage(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

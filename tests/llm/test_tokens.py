@@ -103,6 +103,31 @@ def test_pack(spark):
     assert pack.pack(df.limit(0)).count() == 0
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    """Documents are routed by their words: the fill and the containers are the same however the input lies."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    boxes = []
+    for n in (1, 32):
+        rows = pack.pack(docs.repartition(n)).collect()
+        boxes.append(sorted((r["container"], r["doc_id"], r["segment"], r["place"]) for r in rows))
+        assert sum(r["n_tokens"] for r in rows) / (2048 * len({r["container"] for r in rows})) > 0.99
+    assert boxes[0] == boxes[1]
+
+
+def test_related_documents_meet():
+    """Of two subjects, each lies in a stretch of the chain of its own."""
+    rnd = random.Random(1)
+    words = [[a + b + c for a in "bdkl" for b in "aeio" for c in s] for s in ("mnr", "stv")]
+    texts = [" ".join(rnd.choice(words[i % 2]) for _ in range(80)) for i in range(400)]
+    import numpy as np
+
+    router = pack.Router(pack.features(texts[:200]))
+    at = router.places(texts, np.full(400, 0.5))
+    low, high = sorted((at[::2], at[1::2]), key=lambda a: a.mean())
+    assert (low < 0.5).mean() > 0.95 and (high > 0.5).mean() > 0.95
+    assert len(pack.Router(np.zeros((0, pack.CLASSES))).places(["a"], np.zeros(1))) == 1
+
+
 def test_bm25_scores():
     from collections import Counter
 
