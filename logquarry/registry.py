@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logquarry.operators import logparse, nested
-from logquarry.plans import catalog, coverage, lookups, nested_sql  # noqa: F401  coverage and lookups add their queries to the catalogue
+from logquarry.plans import catalog, coverage, entries_sql, lookups, nested_sql  # noqa: F401  coverage and lookups add their queries to the catalogue
 from logquarry.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,4 +29,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the core queries."""
-    return catalog.SQL | {"p3_found": nested_sql.nodes_sql(), "p3_flat": nested_sql.nodes_sql(values=True)}
+    return catalog.SQL | {"p3_found": nested_sql.nodes_sql(), "p3_flat": nested_sql.nodes_sql(values=True), "p4_found": entries_sql.entries_sql()}
