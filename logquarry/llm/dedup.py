@@ -9,11 +9,11 @@ greatest canonical form, so two forms under one hash would be seen and split.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,7 +53,7 @@ _NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 
 @F.arrow_udf(T.StringType())
 def _composed(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts, form="NFC")
+    return pa.array([x and unicodedata.normalize("NFC", x) for x in texts.to_pylist()], pa.string())
 
 
 def one_spelling(col: Column) -> Column:

@@ -56,12 +56,12 @@ def _json_field(name: str) -> str:
     return "coalesce(" + ", ".join(f"json_extract_string(raw, '$.{n}')" for n in (name, name.upper(), name.capitalize())) + ")"
 
 
-def _copies() -> str:
+def _copies(collapsed: bool = False) -> str:
     pick = lambda n: f"CASE WHEN title IS NULL AND doi IS NULL AND ltrim(raw) LIKE '{{%' THEN CASE WHEN json_valid(raw) THEN {_json_field(n)} END WHEN title IS NULL AND doi IS NULL AND ltrim(raw) LIKE '@%' THEN {_FIELD.format(n)} ELSE {n} END"
     return f"""WITH r AS (SELECT citation_id, {pick('title')} AS t, {pick('doi')} AS d FROM citations),
 k AS (SELECT citation_id, {_BARE.format('t')} AS t, coalesce(regexp_replace({_BARE.format('d')}, '^(https?(dx)?doiorg|doi)10', '10'), '') AS d FROM r),
 g AS (SELECT citation_id, min(citation_id) OVER (PARTITION BY t, d) AS a FROM k WHERE t IS NOT NULL)
-SELECT DISTINCT a AS citation_id_a, citation_id AS citation_id_b FROM g WHERE a <> citation_id"""
+""" + ("SELECT min(citation_id) AS citation_id, t AS title_key, nullif(d, '') AS doi_key, count(*) AS n_copies FROM k WHERE t IS NOT NULL GROUP BY t, d UNION ALL SELECT citation_id, NULL, NULL, 1 FROM k WHERE t IS NULL" if collapsed else """SELECT DISTINCT a AS citation_id_a, citation_id AS citation_id_b FROM g WHERE a <> citation_id""")
 
 
 #: Code points of letters drawn like others, and those letters; the SQL's own list, letter by letter.
@@ -94,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": _RUNS,
         "p5_runs": _RUN_TIMES,
         "p6_found": _copies(),
+        "p6_collapsed": _copies(collapsed=True),
     }

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A dictionary of at most so many templates is broadcast, a larger one joined.
 BROADCAST_TEMPLATES = 50_000
+#: Code points above the first plane; a session of as many kinds of events raises.
+MOST_KINDS = 0x100000
 
 
 def canonical_event(template: Column) -> Column:
@@ -50,6 +52,7 @@ def runs(sessions: DataFrame, templates: DataFrame) -> DataFrame:
     s = _with_events(s, templates)
     pair = F.transform("events", lambda e, i: F.concat_ws("\u0001", F.coalesce(e, F.lit("\u0002")), F.coalesce(F.get("labels", i).cast("string"), F.lit("\u0002"))))
     s = s.withColumn("pairs", pair).withColumn("kinds", F.array_distinct("pairs"))
+    s = s.withColumn("kinds", F.when(F.size("kinds") < MOST_KINDS, F.col("kinds")).otherwise(F.raise_error(F.lit("a session of more kinds of events than there are code points"))))
     # symbol k is code point 0x10000 + k, written as its two UTF-16 halves
     k = lambda p: F.array_position("kinds", p)
     half = lambda p: F.concat(F.hex(F.lit(0xD800) + F.shiftright(k(p), 10)), F.hex(F.lit(0xDC00) + k(p).bitwiseAND(F.lit(0x3FF))))
@@ -77,7 +80,7 @@ def collapse(sessions: DataFrame, templates: DataFrame, log: DataFrame) -> DataF
     """
     r = runs(sessions, templates)
     ts = F.try_to_timestamp("Time", F.lit("yyyy-MM-dd-HH.mm.ss.SSSSSS")).cast("timestamp_ntz")
-    t = log.where("idx is not null").select(F.col("idx").alias("i"), ts.alias("ts")).dropDuplicates(["i"])
+    t = log.where("idx is not null").select(F.col("idx").alias("i"), ts.alias("ts"))  # a row met twice changes neither end
     rows = r.select("sid", "start_pos", F.explode("all_idx").alias("i")).where("i is not null").distinct()
     span = rows.join(t, "i").groupBy("sid", "start_pos").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
     us = F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))

@@ -63,6 +63,8 @@ def test_copies_in_other_characters(spark):
     rows = [(1, "", "Café systems ABC", "10.1/x"), (2, "", "Cafe\u0301 systems ABC", "10.1/x"), (3, "", "Ｃａｆé　ｓｙｓｔｅｍｓ　ＡＢＣ", "１０．１／ｘ"), (4, "", "Cafe systems ABC", "10.1/x"), (5, "", "Саfé systems ABC", "10.1/x")]
     rows += [(6, "", "Straße ΟΔΟΣ A", None), (7, "", "STRASSE οδος-a", None), (8, '{"title": "Stra\\u00dfe ο\u0301δος", "doi": ""}', None, None), (9, "", "strasse όΔΟΣ", "")]
     assert copies(spark, rows) == [(1, 2), (1, 3), (6, 7), (8, 9)]
+    one = dedup.collapse(spark.createDataFrame([(*r, "h", 1) for r in rows], CIT)).where("citation_id = 1").first()
+    assert (one["title_key"], one["doi_key"], one["n_copies"]) == ("caf\u00e9systemsabc", "101x", 3)
 
 
 def test_hot_group(spark):
