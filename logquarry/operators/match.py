@@ -68,9 +68,9 @@ def best_by_tokens(left: DataFrame, right: DataFrame, k: int = 5, threshold: flo
     Titles of the same words are matched once, so a title that many rows carry
     is one on either side, and of its rows only the k + 1 lowest can take a
     place.  Prefix filter: words are ordered by rarity; sets with F1 >= t
-    share t / (2 - t) of each one's words, so such a pair meets in the first
-    words of both; a pair whose sizes, or whose words after the one they meet
-    in, cannot reach t goes no further.
+    share t / (2 - t) of each one's words and, unless they are equal, two at
+    least, so such sets meet in two of the first words of both; a pair whose
+    sizes, or whose words after these two, cannot reach t goes no further.
     """
     bag = F.array_sort(F.array_distinct(T.meaningful(T.normalise_title(F.col("title")))))
     lw = durable(left.withColumn("w", bag).where(F.size("w") > 0).select("id", "w", F.xxhash64("w").alias("lb")))
@@ -81,17 +81,21 @@ def best_by_tokens(left: DataFrame, right: DataFrame, k: int = 5, threshold: flo
     share = threshold / (2 - threshold)
 
     def prefix(d: DataFrame, key: str) -> DataFrame:
-        e = d.select(key, "w", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word", "left")
+        e = d.where(F.size("w") > 1).select(key, "w", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word", "left")
         z = e.groupBy(key, "w", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("z"))
-        keep = (F.col("n") - F.ceil(share * F.col("n") - F.lit(1e-9)) + 1).cast("int")
-        return z.select("w", "n", F.posexplode(F.transform(F.slice("z", F.lit(1), keep), lambda x: x.word)).alias("pos", "word"))
+        keep = F.least(F.col("n"), (F.col("n") - F.ceil(share * F.col("n") - F.lit(1e-9)) + 2).cast("int"))
+        z = z.withColumn("z", F.transform(F.slice("z", F.lit(1), keep), lambda x: x.word))
+        two = F.flatten(F.transform("z", lambda x, i: F.transform(F.slice("z", F.lit(1), i), lambda y: F.struct(F.xxhash64(y, x).alias("two"), i.alias("pos")))))
+        return z.select("w", "n", F.explode(two).alias("p")).select("w", "n", "p.two", "p.pos")
 
-    a = prefix(lw.select("lb", "w").distinct(), "lb").select("word", F.col("w").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = prefix(bags, "rb").select("word", F.col("w").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    a = prefix(lw.select("lb", "w").distinct(), "lb").select("two", F.col("w").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    b = prefix(bags, "rb").select("two", F.col("w").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     need = F.lit(threshold / 2) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
-    pairs = a.join(b, "word").where((F.least("na", "nb") >= need) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need))
+    pairs = a.join(b, "two").where((F.least("na", "nb") >= need) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1 >= need))
     f1 = 2 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))
-    both = pairs.withColumn("f1", f1).where(F.col("f1") >= threshold - 1e-12).select("a", "b", F.round("f1", 6).alias("f1")).distinct()
+    both = pairs.withColumn("f1", f1).where((F.col("f1") >= threshold - 1e-12) & (F.col("a") != F.col("b"))).select("a", "b", F.round("f1", 6).alias("f1")).distinct()
+    same = lw.select(F.col("w").alias("a")).distinct().join(bags.select(F.col("w").alias("a"), F.col("w").alias("b")), "a").select("a", "b", F.lit(1.0).alias("f1"))
+    both = both.unionByName(same)
     hit = lw.select("id", F.col("w").alias("a")).join(both, "a").join(bags.select(F.col("w").alias("b"), "others"), "b")
     hit = hit.select("id", "f1", F.explode("others").alias("other")).where(F.lit(itself) | (F.col("id") != F.col("other")))
     best = W.partitionBy("id").orderBy(F.col("f1").desc(), "other")

@@ -256,6 +256,25 @@ def nodes(members: DataFrame) -> DataFrame:
     return own.join(used, "node", "left").select("node", "n_members", F.coalesce("n_used", F.lit(0)).cast("bigint").alias("n_used"))
 
 
+def leaves(answers: DataFrame, members: DataFrame) -> DataFrame:
+    """(response_id, path, kind, value): every scalar and null of every answer, walked from the roots over the bridge.
+
+    A path is '$', then '.key' or '[ordinal]' for each step.  The walk goes
+    level by level over distinct roots, one join a level; the answers are
+    joined last.
+    """
+    at = answers.select("root").distinct().select("root", F.col("root").alias("parent"), F.lit("$").alias("path"))
+    step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("ordinal").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))
+    found = None
+    while True:
+        level = durable(at.join(members, "parent").select("root", F.concat("path", step).alias("path"), "child", "kind", "value"))
+        here = level.where("child is null").select("root", "path", "kind", "value")
+        found = here if found is None else found.unionByName(here)
+        at = level.where("child is not null").select("root", F.col("child").alias("parent"), "path")
+        if at.isEmpty():
+            return answers.join(found, "root").select("response_id", "path", "kind", "value")
+
+
 def works_flat(api: DataFrame) -> DataFrame:
     """Nodes of every work: (response_id, item_pos, node, pos, subpos, value, object_id).
 

@@ -149,6 +149,10 @@ class Miner:
                     best = (rank, a)
         return (-best[0][2], best[1]) if best and best[1].length >= self.tau * len(words) else None
 
+    def tree(self) -> list[str]:
+        """The openings as indented lines, each with the number of templates under it and the template that ends there."""
+        return [f"{'  ' * (len(path) - 1)}{path[-1]} ({uses}{'' if n is None else f', template {n}'})" for path, (uses, n) in sorted(self.openings.items())]
+
     def add(self, words: list[str]) -> int:
         """Number of the template of a tokenised line; may widen it.  A line without words has the number -1."""
         if not words:

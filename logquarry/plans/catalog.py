@@ -295,7 +295,14 @@ def template_pairs(s: SparkSession, d: str) -> DataFrame:
     return graph.bag_cosine_pairs(_template_words(s, d), 0.8).select("a", "b", F.round("cos", 6).alias("cos"))
 
 
-@query()
+_ALIGN = "STRUCT(id BIGINT, nb BIGINT[], reps BIGINT[], o STRUCT(rep BIGINT, member BIGINT)[])"
+_FIRST = "list_min(list_filter(x.nb, lambda n: list_contains(a.reps, n)))"
+
+
+@query(f"""WITH {_TW}, pr AS (SELECT a.id AS a, b.id AS b FROM tc a JOIN tc b ON a.w = b.w AND a.id < b.id JOIN tn x ON x.id = a.id JOIN tn y ON y.id = b.id GROUP BY a.id, b.id HAVING sum(a.c * b.c) / max(x.nm) / max(y.nm) >= 0.8 - 1e-12),
+nd AS (SELECT tn.id, coalesce(list(pr.a) FILTER (WHERE pr.a IS NOT NULL), []) AS nb FROM tn LEFT JOIN pr ON pr.b = tn.id GROUP BY tn.id), el AS (SELECT list({{'id': id, 'nb': nb, 'reps': [], 'o': []}}::{_ALIGN} ORDER BY id) AS l FROM nd),
+rd AS (SELECT list_reduce(l, lambda a, x: {{'id': x.id, 'nb': x.nb, 'reps': CASE WHEN {_FIRST} IS NULL THEN list_append(a.reps, x.id) ELSE a.reps END, 'o': list_append(a.o, {{'rep': coalesce({_FIRST}, x.id), 'member': x.id}})}}, {{'id': 0, 'nb': [], 'reps': [], 'o': []}}::{_ALIGN}) AS r FROM el)
+SELECT z.rep, z.member FROM (SELECT unnest(r.o) AS z FROM rd)""")
 def greedy_align(s: SparkSession, d: str) -> DataFrame:
     """Representatives of the templates by the greedy rule."""
     w = _template_words(s, d)

@@ -43,6 +43,11 @@ UNION ALL SELECT response_id, item_pos, 'affiliation', pos, subpos{v('x')} FROM
 UNION ALL SELECT response_id, item_pos, 'date_part', pos, subpos{v('y')} FROM di WHERE {_full('y')}"""
 
 
+def leaves_sql() -> str:
+    """(response_id, path, value) of every scalar and null of every answer."""
+    return f"""WITH {works_sql()} SELECT response_id, replace(t.fullkey, '"', '') AS path, json_extract_string(t.atom, '$') AS value FROM o, json_tree(o.m) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')"""
+
+
 def first_titles_sql() -> str:
     """CTEs ending in ``ft(response_id, title)``: first title of the first work."""
     return f"""{works_sql()}, fw AS (SELECT response_id, json_extract(arg_min(w, item_pos), '$.title') AS t FROM wk GROUP BY response_id), fl AS (SELECT response_id, list_filter({_els('t')}, lambda x: json_type(x) = 'VARCHAR' AND json_extract_string(x, '$') <> '') AS l FROM fw WHERE t IS NOT NULL), ft AS (SELECT response_id, json_extract_string(l[1], '$') AS title FROM fl WHERE len(l) > 0)"""

@@ -137,9 +137,16 @@ def scan_arrays(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_config(path: str, overrides: dict | None = None) -> dict:
-    """Configuration from JSON; values of ``overrides`` that are not None replace the keys they name, 'a.b' going deeper."""
+    """Configuration from JSON, or from YAML where its library is there; values of ``overrides`` that are not None replace the keys they name, 'a.b' going deeper."""
     with open(path) as f:
-        conf = json.load(f)
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError("YAML needs its library; write the configuration as JSON") from e
+            conf = yaml.safe_load(f) or {}
+        else:
+            conf = json.load(f)
     for k, v in (overrides or {}).items():
         if v is None:
             continue

@@ -206,6 +206,7 @@ def test_miner():
     assert m.add("a b c d".split()) == 0 and m.add("a b x d".split()) == 0
     assert m.templates[0] == ["a", "b", "<*>", "d"]
     assert m.add("q r s".split()) == 1 and m.add([]) == -1
+    assert m.tree() == ["a (1)", "  b (1)", "    d (1, template 0)", "q (1)", "  r (1)", "    s (1, template 1)"]
     a = templates.Alignment(list("abcbdab"), list("bdcaba"))
     assert a.length == 4 and a.words() == list("bcba") and templates.Alignment(["a"], []).words() == []
     assert templates.widen(list("abca"), ["a"]) == ["a", "<*>"] and templates.widen(list("xaby"), ["a", "y"]) == ["<*>", "a", "<*>", "y"] and templates.widen(["a"], []) == []
@@ -316,3 +317,16 @@ def test_small_text_operators(spark):
 
     assert one(spark, T.percent_encode(F.col("x")), x="a b*~/é+") == "a%20b%2A~%2F%C3%A9%2B"
     assert one(spark, T.merge_objects(F.col("a"), F.col("b")), a='{"k": 1, "x": [1]}', b='{"k": "v"}') in ('{"x":[1],"k":"v"}', '{"k":"v","x":[1]}')
+
+
+def test_word_vectors_and_clusters(spark):
+    from logquarry.plans import learning
+
+    d = spark.createDataFrame([(["disk", "full", "node", "down"],)] * 20, "w array<string>")
+    v = learning.word_vectors(d, "w", size=8)
+    assert {r["word"] for r in v.getVectors().collect()} == {"disk", "full", "node", "down"} and len(v.getVectors().first()["vector"]) == 8
+    pts = spark.createDataFrame([(i, [float(i % 2) * 10 + i / 100, 1.0]) for i in range(20)], "i int, e array<double>")
+    got = {r["i"]: r["cluster"] for r in learning.clusters(pts, "e", 2).collect()}
+    assert len({got[i] for i in range(0, 20, 2)}) == 1 and got[0] != got[1]
+    got = learning.hashed_vectors(spark.createDataFrame([(1, "a A b"), (2, None), (3, "")], "k int, t string"), "k", "t").collect()
+    assert sum(r["n"] for r in got) == 3 and {r["k"] for r in got} == {1} and max(r["n"] for r in got) >= 2
