@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Documents of a shard on average; a task holds the index of twice as many, or of so many characters, at most.
 SHARD_DOCS, SHARD_CHARS = 4096, 64_000_000
 #: Documents the centroids are fitted on, centroids, and classes of words.
-FIT_DOCS, CENTROIDS, CLASSES = 2_000, 128, 256
+FIT_DOCS, CENTROIDS, CLASSES = 2_000, 64, 512
 #: BM25.
 K1, B = 1.2, 0.75
 #: The room at and under which the tightest fit is taken instead of the next neighbour, as a share of the capacity.
@@ -59,13 +59,29 @@ def terms_of(parts: list[str]) -> Counter:
     return bag
 
 
+class _Classes(dict):
+    """Hash class of the term of a blank-separated part, -1 for numbers and what has no term."""
+
+    def __missing__(self, part: str) -> int:
+        t = _terms[part]
+        c = zlib.crc32(t.encode()) % CLASSES if t and not t[0].isdigit() else -1
+        if len(self) >= 400_000:
+            self.clear()
+        if len(part) <= 48:
+            self[part] = c
+        return c
+
+
+_classes = _Classes()
+
+
 def features(texts: list[str]) -> np.ndarray:
-    """Log counts of words in hash classes, a row a text."""
+    """Log counts of words by hash class, a row a text."""
     out = np.zeros((len(texts), CLASSES))
     for i, text in enumerate(texts):
-        for w, n in terms_of(text.split(" ")).items():
-            if not w[0].isdigit():
-                out[i, zlib.crc32(w.encode()) % CLASSES] += 1 + np.log(n)
+        n = Counter(map(_classes.__getitem__, text.split(" ")))
+        n.pop(-1, None)
+        out[i, list(n)] = 1 + np.log(np.fromiter(n.values(), np.float64, len(n)))
     return out
 
 
@@ -98,8 +114,9 @@ class Router:
 
     def places(self, texts: list[str], salts: np.ndarray) -> np.ndarray:
         """Place of each text in the chain, 0 to 1; salts in [0, 1) spread the texts of one centroid over its stretch."""
-        near = (self._unit(features(texts) * self.idf) @ self.centroids.T).argmax(1)
-        return self.before[near] + salts * self.share[near]
+        near = [(self._unit(features(texts[a : a + 512]) * self.idf) @ self.centroids.T).argmax(1) for a in range(0, len(texts), 512)]
+        at = np.concatenate([*near, np.zeros(0, np.int64)])
+        return self.before[at] + salts * self.share[at]
 
 
 class Index:
@@ -126,6 +143,13 @@ class Index:
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange(len(vocab) + 1))
 
+    def drop(self, keep: np.ndarray) -> None:
+        """Takes the postings of documents out that are no longer asked for; the others' weights stay."""
+        stay = keep[self.post_doc]
+        before = np.concatenate(([0], np.cumsum(stay)))
+        self.start = before[self.start]
+        self.post_doc, self.post_weight = self.post_doc[stay], self.post_weight[stay]
+
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of every document of the shard for the words of one."""
         t = self.terms[self.by_doc[doc] : self.by_doc[doc + 1]]
@@ -141,9 +165,13 @@ def fill(sizes: np.ndarray, index: Index, capacity: int = CAPACITY) -> list[list
     """Containers as lists of (item, score against the seed); sizes are 1 to ``capacity``."""
     unused = sizes > 0
     out = []
+    indexed = len(sizes)
     for seed in np.argsort(-sizes, kind="stable"):
         if not unused[seed]:
             continue
+        if (left := int(unused.sum())) < 0.8 * indexed:
+            index.drop(unused)
+            indexed = left
         unused[seed] = False
         box, room = [(int(seed), 0.0)], capacity - int(sizes[seed])
         can = np.flatnonzero(unused & (sizes <= room))
