@@ -56,17 +56,17 @@ def _composed(texts: pa.Array) -> pa.Array:
     return pa.array([x and unicodedata.normalize("NFC", x) for x in texts.to_pylist()], pa.string())
 
 
-def one_spelling(col: Column) -> Column:
-    """Characters in one spelling: composed (NFC) and of ordinary width.  Only texts outside ASCII go to Arrow."""
-    narrow = F.translate(col, _WIDE, _NARROW)
-    return F.coalesce(_composed(F.when(narrow.rlike(r"[^\x00-\x7F]"), narrow)), narrow)
+def folded(col: Column) -> Column:
+    """Characters in one spelling, composed (NFC) and of ordinary width, and case folded.  Only texts outside ASCII go to Arrow."""
+    other = col.rlike(r"[^\x00-\x7F]")
+    one = _composed(F.when(other, F.translate(col, _WIDE, _NARROW)))
+    full = F.translate(F.lower(F.upper(F.regexp_replace(one, "[ßẞ]", "ss"))), "ς", "σ")  # a final sigma depends on what follows it
+    return F.when(other, full).otherwise(F.lower(col))
 
 
 def bare(col: Column) -> Column:
     """Canonical text: one spelling of characters, case folded, blanks, invisible characters, punctuation and symbols left out; '' becomes NULL."""
-    folded = F.lower(F.upper(F.regexp_replace(one_spelling(col), "[ßẞ]", "ss")))
-    folded = F.translate(folded, "ς", "σ")  # a final sigma depends on what follows it
-    return F.nullif(F.regexp_replace(folded, r"[\p{P}\p{S}\p{Z}\p{C}\s]+", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(folded(col), r"[\p{P}\p{S}\p{Z}\p{C}\s]+", ""), F.lit(""))
 
 
 def canonical(citations: DataFrame) -> DataFrame:
