@@ -15,6 +15,12 @@ EDITION_OF = [
     "first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth",
     "revised|updated|expanded|student|international|anniversary",
 ]
+#: An edition marker after one of these, and a revised edition.
+EDITION, REVISED = r"(^|\s)({})\s+(edition|ed\.)(\s|$)", r"(^|\s)rev\.?\s+ed\.?(\s|$)"
+#: TeX in a title - formulas, commands with an argument, other commands - and what becomes of it, in this order.
+TEX = [(r"\$[^$]*\$", ""), (r"\\[A-Za-z]+\{([^{}]*)\}", "$1"), (r"\\[A-Za-z]+", "")]
+#: Shape of a surname in a raw citation.
+SURNAME = r"^[A-Z][a-zA-Z'-]{2,}$"
 #: Shape of a DOI, words that are no surnames.
 DOI = r"10\.[0-9]+/[A-Za-z0-9._:;()/-]+"
 NO_SURNAMES = ["And", "The", "Of", "In", "With", "For", "From", "To"]
@@ -42,16 +48,15 @@ def strip_accents(c: Column) -> Column:
 def strip_edition(c: Column) -> Column:
     """Edition markers out of a small-letter title, but only after an ordinal or a modifier."""
     for before in EDITION_OF:
-        c = F.regexp_replace(c, rf"(^|\s)({before})\s+(edition|ed\.)(\s|$)", " ")
-    return F.regexp_replace(F.regexp_replace(c, r"(^|\s)rev\.?\s+ed\.?(\s|$)", " "), " +", " ")
+        c = F.regexp_replace(c, EDITION.format(before), " ")
+    return F.regexp_replace(F.regexp_replace(c, REVISED, " "), " +", " ")
 
 
 def normalise_title(c: Column) -> Column:
     """Normal form of a title: accents, TeX, case, edition, punctuation and blanks, in this order; NULL stays NULL."""
     c = strip_accents(c)
-    c = F.regexp_replace(c, r"\$[^$]*\$", "")
-    c = F.regexp_replace(c, r"\\[A-Za-z]+\{([^{}]*)\}", "$1")
-    c = F.regexp_replace(c, r"\\[A-Za-z]+", "")
+    for pattern, to in TEX:
+        c = F.regexp_replace(c, pattern, to)
     c = strip_edition(F.lower(c))
     c = F.regexp_replace(F.regexp_replace(c, "\x00", ""), r"[^a-zA-Z0-9\s]", " ")
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -111,7 +116,7 @@ def extract_surnames(c: Column, chars: int | None = 200, most: int | None = 10)
     at = F.coalesce(F.instr(c, F.coalesce(year, F.lit("\u0000"))), F.lit(0))
     chunk = F.when(at > 1, F.substring(c, F.lit(1), at - 1)).otherwise(c if chars is None else F.substring(c, 1, chars))
     toks = F.split(F.translate(chunk, ",&", "  "), " +")
-    keep = lambda x: x.rlike(r"^[A-Z][a-zA-Z'-]{2,}$") & ~x.isin(*NO_SURNAMES)
+    keep = lambda x: x.rlike(SURNAME) & ~x.isin(*NO_SURNAMES)
     names = F.filter(toks, keep)
     return names if most is None else F.slice(names, 1, most)
 
