@@ -73,31 +73,35 @@ def best_by_tokens(left: DataFrame, right: DataFrame, k: int = 5, threshold: flo
     sizes, or whose words after these two, cannot reach t goes no further.
     """
     bag = F.array_sort(F.array_distinct(T.meaningful(T.normalise_title(F.col("title")))))
-    lw = durable(left.withColumn("w", bag).where(F.size("w") > 0).select("id", "w", F.xxhash64("w").alias("lb")))
+    lw = durable(left.withColumn("w", bag).where(F.size("w") > 0).select("id", "w"))
+    lbags = durable(lw.select("w").distinct().withColumn("lb", F.monotonically_increasing_id()))
     rw = right.withColumn("w", bag).where(F.size("w") > 0).select("other", "w")
-    lowest = durable(rw.withColumn("p", F.row_number().over(W.partitionBy("w").orderBy("other"))).where(F.col("p") <= k + 1).drop("p"))
-    bags = durable(lowest.groupBy("w").agg(F.array_sort(F.collect_list("other")).alias("others")).withColumn("rb", F.xxhash64("w")))
-    df = bags.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    lowest = rw.withColumn("p", F.row_number().over(W.partitionBy("w").orderBy("other"))).where(F.col("p") <= k + 1)
+    rbags = durable(lowest.groupBy("w").agg(F.array_sort(F.collect_list("other")).alias("others")).withColumn("rb", F.monotonically_increasing_id()))
+    df = rbags.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     share = threshold / (2 - threshold)
 
     def prefix(d: DataFrame, key: str) -> DataFrame:
-        e = d.where(F.size("w") > 1).select(key, "w", F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word", "left")
-        z = e.groupBy(key, "w", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("z"))
+        e = d.where(F.size("w") > 1).select(key, F.size("w").alias("n"), F.explode("w").alias("word")).join(df, "word", "left")
+        z = e.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("z"))
+        z = z.select(key, "n", F.transform("z", lambda x: F.xxhash64(x.word)).alias("h"))  # short forms of the words, in order of rarity
         keep = F.least(F.col("n"), (F.col("n") - F.ceil(share * F.col("n") - F.lit(1e-9)) + 2).cast("int"))
-        z = z.withColumn("z", F.transform(F.slice("z", F.lit(1), keep), lambda x: x.word))
-        two = F.flatten(F.transform("z", lambda x, i: F.transform(F.slice("z", F.lit(1), i), lambda y: F.struct(F.xxhash64(y, x).alias("two"), i.alias("pos")))))
-        return z.select("w", "n", F.explode(two).alias("p")).select("w", "n", "p.two", "p.pos")
+        two = F.flatten(F.transform(F.slice("h", F.lit(1), keep), lambda x, i: F.transform(F.slice("h", F.lit(1), i), lambda y: F.struct(F.xxhash64(y, x).alias("two"), i.alias("pos")))))
+        apart = F.when(F.size(F.array_distinct("h")) == F.col("n"), F.col("h"))  # NULL if two words of a title share a short form
+        return z.select(key, "n", apart.alias("g"), F.explode(two).alias("p")).select(key, "n", F.col("g").alias("h"), "p.two", "p.pos")
 
-    a = prefix(lw.select("lb", "w").distinct(), "lb").select("two", F.col("w").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = prefix(bags, "rb").select("two", F.col("w").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    a = prefix(lbags, "lb").select("two", "lb", F.col("h").alias("ha"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    b = prefix(rbags, "rb").select("two", "rb", F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     need = F.lit(threshold / 2) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
-    pairs = a.join(b, "two").where((F.least("na", "nb") >= need) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1 >= need))
+    met = a.join(b, "two").where((F.least("na", "nb") >= need) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1 >= need))
+    enough = F.size(F.array_intersect("ha", "hb")) >= need  # short forms share no less than the words
+    met = met.where(F.col("ha").isNull() | F.col("hb").isNull() | enough).select("lb", "rb").distinct()
     f1 = 2 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))
-    both = pairs.withColumn("f1", f1).where((F.col("f1") >= threshold - 1e-12) & (F.col("a") != F.col("b"))).select("a", "b", F.round("f1", 6).alias("f1")).distinct()
-    same = lw.select(F.col("w").alias("a")).distinct().join(bags.select(F.col("w").alias("a"), F.col("w").alias("b")), "a").select("a", "b", F.lit(1.0).alias("f1"))
-    both = both.unionByName(same)
-    hit = lw.select("id", F.col("w").alias("a")).join(both, "a").join(bags.select(F.col("w").alias("b"), "others"), "b")
-    hit = hit.select("id", "f1", F.explode("others").alias("other")).where(F.lit(itself) | (F.col("id") != F.col("other")))
+    pairs = met.join(lbags.withColumnRenamed("w", "a"), "lb").join(rbags.withColumnRenamed("w", "b"), "rb").where("a <> b").withColumn("f1", f1)
+    pairs = pairs.where(F.col("f1") >= threshold - 1e-12).select("a", "others", F.round("f1", 6).alias("f1"))
+    same = lbags.select(F.col("w").alias("a")).join(rbags.select(F.col("w").alias("a"), "others"), "a").select("a", "others", F.lit(1.0).alias("f1"))
+    hit = lw.withColumnRenamed("w", "a").join(pairs.unionByName(same), "a").select("id", "f1", F.explode("others").alias("other"))
+    hit = hit.where(F.lit(itself) | (F.col("id") != F.col("other")))
     best = W.partitionBy("id").orderBy(F.col("f1").desc(), "other")
     return hit.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "other", "rank", "f1")
 
